@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from tessera.llm.langid import op3_hyperdimensional_langid
+from tessera.llm.minhash_join import op10_minhash_jaccard_join
 from tessera.llm.mixing import op2_entropy_balancing
 from tessera.llm.packing import op4_best_fit_packing
 from tessera.llm.quality import op5_adaptive_quality
+from tessera.llm.warc import op6_sharded_warc
 
 QUERIES = {
     "op2_entropy_balancing": op2_entropy_balancing,
     "op3_hyperdimensional_langid": op3_hyperdimensional_langid,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_adaptive_quality": op5_adaptive_quality,
+    "op6_sharded_warc": op6_sharded_warc,
+    "op10_minhash_jaccard_join": op10_minhash_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
