@@ -7,9 +7,11 @@ from tessera.llm.minhash_join import op10_minhash_jaccard_join
 from tessera.llm.mixing import op2_entropy_balancing
 from tessera.llm.packing import op4_best_fit_packing
 from tessera.llm.quality import op5_adaptive_quality
+from tessera.llm.suffix_lm import op1_suffix_tree_scores
 from tessera.llm.warc import op6_sharded_warc
 
 QUERIES = {
+    "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_entropy_balancing": op2_entropy_balancing,
     "op3_hyperdimensional_langid": op3_hyperdimensional_langid,
     "op4_best_fit_packing": op4_best_fit_packing,
