@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,6 +64,30 @@ def global_index(df: DataFrame, col: str, index: str) -> DataFrame:
     return dealt.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(index, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
 
 
-def let(value, body):
+def sample_bounds(ids: DataFrame, n: int, sample: int = 16) -> list[int]:
+    """At most n - 1 ascending values of `id` that cut them into n nearly equal parts, the same however they are partitioned.
+
+    They are quantiles of the ids with the smallest hashes; at most sample * n of those reach the driver.
+    """
+    if n < 2:
+        return []
+    rows = ids.filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample * n).collect()
+    found = sorted(r[0] for r in rows)
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+
+
+def tree_index(bounds: list[int], key: Column) -> Column:
+    """The number of bounds at or below key, by a tree of comparisons; after all of them for null."""
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < bounds[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return F.when(key.isNull(), F.lit(len(bounds))).otherwise(tree(0, len(bounds)))
+
+
+def let(value: Column, body) -> Column:
     """Evaluate `value` once and use it several times inside `body` (a function of a column)."""
     return F.element_at(F.transform(F.array(value), body), 1)

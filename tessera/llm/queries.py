@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.iblt import op7_iblt_fingerprints
 from tessera.llm.langid import op3_hyperdimensional_langid
 from tessera.llm.minhash_join import op10_minhash_jaccard_join
 from tessera.llm.mixing import op2_entropy_balancing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_adaptive_quality": op5_adaptive_quality,
     "op6_sharded_warc": op6_sharded_warc,
+    "op7_iblt_fingerprints": op7_iblt_fingerprints,
     "op10_minhash_jaccard_join": op10_minhash_jaccard_join,
 }
 

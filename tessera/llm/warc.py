@@ -24,10 +24,10 @@ from collections.abc import Iterator
 from itertools import zip_longest
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, small_batches, store
+from tessera.llm.common import new_path, sample_bounds, small_batches, store, tree_index
 
 SHARD_BYTES = 64 << 20
 """Payload bytes a shard aims at."""
@@ -35,8 +35,6 @@ ROLL_BYTES = 16 << 20
 """Compressed bytes after which a file ends."""
 MAX_SHARDS = 4096
 """More data make shards of more files."""
-SAMPLE = 16
-"""Sampled ids for each shard boundary."""
 DATE = "1970-01-01T00:00:00Z"
 CHUNK = 1 << 20
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -129,27 +127,6 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int) -> I
     yield pa.record_batch([pa.array(c, pa.string() if k in ("file", "sha256") else pa.int64()) for k, c in zip_longest(names, zip(*files, strict=True), fillvalue=())], names=names)
 
 
-def _shard(bounds: list[int], key: Column) -> Column:
-    """The number of bounds at or below key, by a tree of comparisons; after all of them for null."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < bounds[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return F.when(key.isNull(), F.lit(len(bounds))).otherwise(tree(0, len(bounds)))
-
-
-def boundaries(ids: DataFrame, n: int, sample: int = SAMPLE) -> list[int]:
-    """At most n - 1 ascending ids that cut the ids into n nearly equal parts, from those with the smallest hashes."""
-    if n < 2:
-        return []
-    rows = ids.filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample * n).collect()
-    found = sorted(r[0] for r in rows)
-    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
-
-
 def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = 0) -> DataFrame:
     """Write pages into `folder`, which all executors share; returns the manifest."""
     spark = pages.sparkSession
@@ -159,9 +136,9 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     groups = rows.filter(F.length("payload") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     groups = store(groups, "revisits")
     total = rows.agg(F.sum(F.length("payload"))).first()[0] or 0
-    bounds = boundaries(rows.select("id"), min(MAX_SHARDS, -(-total // shard_bytes)))
+    bounds = sample_bounds(rows.select("id"), min(MAX_SHARDS, -(-total // shard_bytes)))
     shards = len(bounds) + 1
-    dealt = rows.join(groups, "digest", "left").select(_shard(bounds, F.col("id")).alias("shard"), "id", "url", "payload", "digest", "first", "n")
+    dealt = rows.join(groups, "digest", "left").select(tree_index(bounds, F.col("id")).alias("shard"), "id", "url", "payload", "digest", "first", "n")
     order = ("shard", F.col("id").asc_nulls_last(), "digest", F.col("url").asc_nulls_last())
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions(*order)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
