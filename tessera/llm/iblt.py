@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import documents, global_index, let, sample_bounds, store, tree_index
 
-PIECE = 400
+PIECE = 200
 SIZES = tuple(8 << (2 * i) for i in range(9))
 """Cells of each part of a table, in the order they are tried."""
 ROUNDS = 48
