@@ -309,5 +309,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each class of near_duplicates(): that with the smallest doc_id.
+
+    Rows that share an id and a text stay once. Rows without an id belong to no class's choice: they stay, also once a text.
+    """
+    found = store(near_duplicates(docs, doc_id, text, **options), "duplicates")
+    dropped = found.filter("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("_drop")).distinct()
+    again = store(found.filter("doc_id is null or doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    left = docs.join(dropped, docs[doc_id] == dropped["_drop"], "left_anti")
+    if not again.limit(1).count():
+        return left
+    repeats = left[doc_id].eqNullSafe(again["doc_id"])
+    return left.join(again, repeats, "left_anti").unionByName(left.join(again, repeats, "left_semi").dropDuplicates([doc_id, text]))
+
+
 def op10_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

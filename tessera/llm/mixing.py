@@ -90,14 +90,12 @@ def solve(hist: DataFrame, sources: DataFrame, max_rate: float = MAX_RATE, toler
     return state.select("source", "mean", "full", "lam")
 
 
-def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies), one row for each row of docs.
+def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies), one row for all rows of sized that agree in the first three.
 
-    docs is read as (doc_id, source, size); its other columns, whatever their names, play no part. Copies are whole
-    and lie between 0 and max_rate. Within a bucket documents are rounded from the largest to the smallest, each so
-    that the words taken so far come closest to those its rates ask for.
+    sized: (doc_id, source, size). Copies are whole and lie between 0 and max_rate. Within a bucket documents are
+    rounded from the largest to the smallest, each so that the words taken so far come closest to those its rates ask for.
     """
-    sized = store(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size")), "sized")
     items = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"))
     hist = store(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sources = store(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_rows")), weights, share, max_rate), "targets")
@@ -120,10 +118,31 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size
     start = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<int>").alias("taken"))
     rounded = grouped.select("source", let(F.aggregate("items", start, take)["taken"], lambda taken: F.zip_with("items", taken, lambda x, n: F.struct(x.alias("x"), n.alias("copies")))).alias("items"))
     rounded = rounded.select("source", F.explode("items").alias("i")).select("source", "i.x.*", "i.copies")
-    return (
-        sized.alias("d").join(rounded.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.size") == F.col("r.size")))
-        .select("d.*", "r.source_size", "r.target", "r.rate", "r.copies")
-    )
+    return rounded.select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
+
+
+def _with_plan(docs: DataFrame, planned: DataFrame, doc_id: str, source: str, size: Column, columns: list[Column]) -> DataFrame:
+    same = F.col(f"d.{doc_id}").eqNullSafe(F.col("r.doc_id")) & F.col(f"d.{source}").eqNullSafe(F.col("r.source")) & (size == F.col("r.size"))
+    return docs.alias("d").join(planned.alias("r"), same).select("d.*", *columns)
+
+
+def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies), one row for each row of docs.
+
+    docs is read as (doc_id, source, size); its other columns, whatever their names, play no part.
+    """
+    sized = store(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size")), "sized")
+    planned = plan(sized, weights, share, max_rate)
+    return _with_plan(sized, planned, "doc_id", "source", F.col("d.size"), [F.col(f"r.{c}") for c in ("source_size", "target", "rate", "copies")])
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
+    """docs with each row as often as the mix takes it; sizes are word counts of its text."""
+    size = word_count(F.col(text))
+    sized = store(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), "sized")
+    planned = store(plan(sized, weights, share, max_rate).filter("copies > 0").select("doc_id", "source", "size", "copies"), "planned")
+    repeated = _with_plan(docs, planned, doc_id, source, word_count(F.col(f"d.{text}")), [F.explode(F.sequence(F.lit(1), F.col("r.copies"))).alias("_copy")])
+    return repeated.select(*[repeated[c] for c in docs.columns])
 
 
 def op2_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm.common import documents, small_batches, store
@@ -77,18 +78,19 @@ def counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _count(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], text: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([counts(t.as_py()) for t in b.column(text)], np.int64).reshape(-1, len(COUNTS))
-        kept = [i for i in range(b.num_columns) if i != text]
+        kept = [i for i in range(b.num_columns) if with_text or i != text]
         yield pa.record_batch([*(b.column(i) for i in kept), *(pa.array(c) for c in found.T)], names=[*(b.schema.names[i] for i in kept), *COUNTS])
 
 
-def count_features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of docs with COUNTS of its text."""
+def count_features(docs: DataFrame, keep: list[str], text: str = "text", with_text: bool = False) -> DataFrame:
+    """The columns `keep` of docs, with its text if asked for, and COUNTS of its text."""
     small_batches(docs.sparkSession)
-    fields = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in COUNTS])
-    return docs.select(*keep, text).mapInArrow(lambda it: _count(it, len(keep)), fields)
+    docs = docs.select(*keep, text)
+    fields = T.StructType([f for f in docs.schema.fields if with_text or f is not docs.schema.fields[-1]] + [T.StructField(c, T.LongType()) for c in COUNTS])
+    return docs.mapInArrow(lambda it: _count(it, len(keep), with_text), fields)
 
 
 def base_failed() -> Column:
@@ -143,19 +145,33 @@ def thresholds(sketches: DataFrame, fence: int = FENCE, min_group: int = MIN_GRO
     return chosen.groupBy("lang", "source").agg(*low, *high)
 
 
-def judge(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """The columns `keep` of docs with COUNTS, base_failed and kept."""
-    named = docs.select(F.struct(*keep).alias("_keep"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    features = store(count_features(named, ["_keep", "lang", "source"]), "features")
-    limits = store(thresholds(store(sketch(features), "sketches")), "thresholds")
-    f, t = features.alias("f"), limits.alias("t")
+def _judged(features: DataFrame, limits: DataFrame) -> DataFrame:
+    """features with base_failed and kept."""
     ok = F.lit(True)
     for k, v in rates().items():
         if FLOORS[k][0] is not None:
             ok &= F.coalesce(v >= F.col(f"low_{k}"), F.lit(True))
         ok &= F.coalesce(v <= F.col(f"high_{k}"), F.lit(True))
+    f, t = features.alias("f"), limits.alias("t")
     joined = f.join(t, F.col("f.lang").eqNullSafe(F.col("t.lang")) & F.col("f.source").eqNullSafe(F.col("t.source")), "left")
-    return joined.select("_keep.*", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ok).alias("kept"))
+    return joined.select("f.*", base_failed().alias("base_failed"), (~base_failed() & ok).alias("kept"))
+
+
+def judge(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """The columns `keep` of docs with COUNTS, base_failed and kept."""
+    named = docs.select(F.struct(*keep).alias("_keep"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    features = store(count_features(named, ["_keep", "lang", "source"]), "features")
+    limits = store(thresholds(store(sketch(features), "sketches")), "thresholds")
+    return _judged(features, limits).select("_keep.*", *COUNTS, "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept. Texts are counted twice, for the sketches and for the verdict, and not stored."""
+    rest = [c for c in docs.columns if c != text]
+    named = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_keep"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
+    limits = store(thresholds(store(sketch(count_features(named, ["lang", "source"], "_text")), "sketches")), "thresholds")
+    good = _judged(count_features(named, ["_keep", "lang", "source"], "_text", True), limits).filter("kept")
+    return good.select(*[F.col("_text").alias(c) if c == text else F.col("_keep")[c].alias(c) for c in docs.columns])
 
 
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import documents, small_batches, store
 
@@ -234,7 +235,7 @@ def disclosures(docs: DataFrame, text: str = "text", threshold: float = DISCLOSU
     return store(joint.join(frequency, "term").select("term", degree.alias("d")).groupBy("term").agg(F.max("d").alias("disclosure")).filter(F.col("disclosure") >= threshold), "disclosures")
 
 
-def _find(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, text: int) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, text: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     known, uid = _Filter(bits if bits is not None else np.zeros(0, np.uint64)), TaskContext.get().partitionId() << 33
     for b in batches:
         if len(known) > KNOWN_WORDS:
@@ -249,23 +250,29 @@ def _find(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, text: int)
         n = b.num_rows
         span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
         hit = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-        kept = [i for i in range(b.num_columns) if i != text]
+        kept = [i for i in range(b.num_columns) if with_text or i != text]
         yield pa.record_batch([pa.array(np.arange(uid, uid + n)), *(b.column(i) for i in kept), pa.array(base, span), pa.array(hits, hit)], names=["_row", *(b.schema.names[i] for i in kept), "base", "hits"])
         uid += n
 
 
-def find(docs: DataFrame, keep: list[str], text: str = "text", threshold: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """The columns `keep` of docs with base and terms: arrays of (start, kind, end) and of (start, kind, end, disclosure)."""
+def find(docs: DataFrame, keep: list[str], text: str = "text", threshold: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS, with_text: bool = False) -> DataFrame:
+    """The columns `keep` of docs (and its text, if asked for) with base and terms.
+
+    These are arrays of (start, kind, end) and of (start, kind, end, disclosure).
+    """
     spark = docs.sparkSession
     revealing = disclosures(docs, text, threshold, min_contexts)
     bits = term_filter(revealing)
     sent = spark.sparkContext.broadcast(bits)
-    fields = ", ".join(["_row long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "base array<struct<start:long,kind:int,end:long>>", "hits array<struct<term:long,start:long,end:long>>"])
-    found = store(docs.select(*keep, text).mapInArrow(lambda it: _find(it, sent.value, len(keep)), fields), "found")
+    rows = docs.select(*keep, text)
+    span, hit = "array<struct<start:long,kind:int,end:long>>", "array<struct<term:long,start:long,end:long>>"
+    copied = rows.schema.fields if with_text else rows.schema.fields[:-1]
+    fields = T.StructType([T.StructField("_row", T.LongType()), *copied, T.StructField("base", T._parse_datatype_string(span)), T.StructField("hits", T._parse_datatype_string(hit))])
+    found = store(rows.mapInArrow(lambda it: _find(it, sent.value, len(keep), with_text), fields), "found")
     hits = found.select("_row", F.explode("hits").alias("h")).select("_row", "h.*").join(revealing, "term")
     span = F.struct(F.col("start"), F.lit(KINDS.index("term")).alias("kind"), F.col("end"), F.col("disclosure"))
     hits = hits.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("terms"))
-    return found.join(hits, "_row", "left").select(*keep, "base", F.coalesce("terms", F.array().cast("array<struct<start:long,kind:int,end:long,disclosure:double>>")).alias("terms"))
+    return found.join(hits, "_row", "left").select(*keep, *[text] * with_text, "base", F.coalesce("terms", F.array().cast("array<struct<start:long,kind:int,end:long,disclosure:double>>")).alias("terms"))
 
 
 def cleaned(text: str, base: list[tuple[int, int, int]], revealing: list[tuple[int, int, int, float]], removal: float = REMOVAL) -> str:
@@ -279,25 +286,24 @@ def cleaned(text: str, base: list[tuple[int, int, int]], revealing: list[tuple[i
     return "".join([*out, text[at:]])
 
 
-def _clean(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n = b.num_columns
         new = []
-        for t, base, revealing in zip(b.column(text), b.column(n - 2), b.column(n - 1), strict=True):
+        for t, base, revealing in zip(b.column(1), b.column(2), b.column(3), strict=True):
             value, base, revealing = t.as_py(), base.as_py(), revealing.as_py()
             if value is not None and (base or revealing):
                 value = cleaned(value, [(x["start"], x["kind"], x["end"]) for x in base], [(x["start"], x["kind"], x["end"], x["disclosure"]) for x in revealing])
             new.append(value)
-        yield pa.record_batch([pa.array(new, pa.string()) if i == text else b.column(i) for i in range(n - 2)], names=b.schema.names[: n - 2])
+        yield pa.record_batch([b.column(0), pa.array(new, pa.string())], names=b.schema.names[:2])
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with its texts sanitised; the other columns stay as they are."""
-    keep = docs.columns
-    named = docs.select(F.struct(*keep).alias("_keep"), F.col(text).alias("_text"))
-    found = find(named.withColumn("_copy", F.col("_text")), ["_keep"], "_text")
-    flat = found.select("_keep.*", F.col("base").alias("_base"), F.col("terms").alias("_terms"))
-    return flat.mapInArrow(lambda it: _clean(it, keep.index(text)), docs.schema)
+    rest = [c for c in docs.columns if c != text]
+    named = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_keep"), F.col(text).alias("_text"))
+    found = find(named, ["_keep"], "_text", with_text=True)
+    new = found.mapInArrow(_clean, T.StructType(found.schema.fields[:2]))
+    return new.select(*[F.col("_text").alias(c) if c == text else F.col("_keep")[c].alias(c) for c in docs.columns])
 
 
 def op9_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
