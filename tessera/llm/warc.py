@@ -140,7 +140,7 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     shards = len(bounds) + 1
     dealt = rows.join(groups, "digest", "left").select(tree_index(bounds, F.col("id")).alias("shard"), "id", "url", "payload", "digest", "first", "n")
     order = ("shard", F.col("id").asc_nulls_last(), "digest", F.col("url").asc_nulls_last())
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions(*order)
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}")
     at(".").getFileSystem(conf).mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
