@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Word lists and patterns that results depend on.
 DOMAINS = "com|org|net|in|co|gov|edu|fr|io"
@@ -95,7 +96,7 @@ def digit_set(s: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(_text(s), F.lit(f"{BEFORE}([0-9]+){AFTER}"), 1)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents(s: pd.Series) -> pd.Series:
     """Letters without accents; what has no ASCII form is dropped. Java has no such function, hence Arrow."""
     return s.fillna("").map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii"))
