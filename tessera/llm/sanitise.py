@@ -4,8 +4,10 @@ Entities are what the patterns find: mail and IP addresses, card and phone numbe
 without separators. Terms are words of letters and digits. Over the whole corpus it counts in how many documents an
 entity occurs, a term occurs, and both occur within WINDOW words. A term discloses an entity to the degree
 PMI(entity; term) / IC(entity): 1 if the term never occurs without the entity, 0 if it tells nothing. Terms of at
-least DISCLOSURE for some entity, seen with it in at least MIN_CONTEXTS different contexts (copies of a passage are
-one context), are generalised wherever they occur, and removed from REMOVAL up.
+least DISCLOSURE for some entity, seen with it in at least MIN_CONTEXTS different contexts, are generalised wherever
+they occur, and removed from REMOVAL up. In a passage that is copied, with edits or without, all words go with the
+entity alike and none gives it away: a term doesn't count if more than MAX_COMPANIONS other words are in more than half
+of the contexts that it shares with the entity.
 
 Terms reach the passes over the texts as a filter of fixed size; what it lets through is joined exactly. Entities and
 terms are told apart by 64-bit hashes.
@@ -33,6 +35,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 8
 """Words on each side of an entity that co-occur with it."""
 MIN_CONTEXTS = 3
+MAX_COMPANIONS = 5
 DISCLOSURE = 0.75
 REMOVAL = 0.95
 MIN_TERM = 3
@@ -232,7 +235,12 @@ def disclosures(docs: DataFrame, text: str = "text", threshold: float = DISCLOSU
     both = F.least("both", "entity_docs", "term_docs")
     pmi = F.log(both * n / (F.col("entity_docs") * F.col("term_docs")))
     degree = F.coalesce(F.try_divide(pmi, F.log(n / F.col("entity_docs"))), F.lit(0.0))
-    return store(joint.join(frequency, "term").select("term", degree.alias("d")).groupBy("term").agg(F.max("d").alias("disclosure")).filter(F.col("disclosure") >= threshold), "disclosures")
+    telling = store(joint.join(frequency, "term").select("entity", "term", "contexts", degree.alias("degree")).filter(F.col("degree") >= threshold), "telling")
+    here = seen.filter("term is not null").select("entity", "context", "term")
+    beside = here.join(telling, ["entity", "term"]).select("entity", "context", "term", "contexts").join(here.withColumnRenamed("term", "other"), ["entity", "context"]).filter("term <> other")
+    fixed = beside.groupBy("entity", "term", "contexts", "other").agg(F.count("*").alias("n")).filter("2 * n > contexts").groupBy("entity", "term").agg(F.count("*").alias("companions"))
+    telling = telling.join(fixed, ["entity", "term"], "left").filter(F.coalesce("companions", F.lit(0)) <= MAX_COMPANIONS)
+    return store(telling.groupBy("term").agg(F.max("degree").alias("disclosure")), "disclosures")
 
 
 def _find(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, text: int, with_text: bool) -> Iterator[pa.RecordBatch]:
