@@ -158,7 +158,7 @@ def _predict(batches: Iterator[pa.RecordBatch], names: list[str], matrix: np.nda
     for b in batches:
         old = b.schema.names
         vectors = _all_vectors(b.column(text).to_pylist(), dimensions)
-        cosine = vectors @ matrix.T
+        cosine = np.round(vectors @ matrix.T, 12)
         best = cosine.argmax(1)
         score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
         langs = [names[i] if v.any() else "und" for i, v in zip(best.tolist(), vectors, strict=True)]

@@ -133,7 +133,7 @@ def _keys(batches: Iterator[pa.RecordBatch], words: int, n_bands: int, rows: int
         yield pa.record_batch([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([len(g) for _, g in found], pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "node", "grams", "buckets"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, bits: np.ndarray, salt: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         nodes, sets = [], []
         for t in b.column(0):
@@ -196,7 +196,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         _, low, high = cell
         one = [x for x in held if x[0] == low]
         other = one if low == high else [x for x in held if x[0] == high]
-        if not other or len(one) + len(other) < 2:
+        if not one or not other:
             return []
         yes = linked([x[3] for x in one], [x[3] for x in other], threshold)
         if low == high:
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size = store(size.select("root", F.greatest(F.ceil(F.col("n") / block_nodes), F.ceil(F.col("g") / block_grams)).cast("int").alias("blocks")), "groups")
     members = store(groups.join(size, "root").join(nodes, "node").select("node", "root", "blocks", "copies"), "members")
     bits = spark.sparkContext.broadcast(_filter(members.select("node")))
-    sets = named.select("text").mapInArrow(lambda it: _sets(it, words, bits.value, None), "node long, set array<long>")
+    sets = named.select("text").mapInArrow(lambda it: _sets(it, words, bits.value), "node long, set array<long>")
     sets = members.join(sets.dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"), "block", "node", "copies", "set")
     found = store(cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(lambda it: _verify(it, threshold), "node long, links long, to long"), "links")

@@ -129,8 +129,8 @@ def thresholds(sketches: DataFrame, fence: int = FENCE, min_group: int = MIN_GRO
         w = Window.partitionBy(*keys, "rate")
         s = s.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
         s = s.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-        at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), value_of(F.col("bin"))))
-        q = s.groupBy(*keys, "rate").agg(at(0.25).alias("q25"), at(0.75).alias("q75"), F.max("all").alias("texts"))
+        at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("bin")))
+        q = s.groupBy(*keys, "rate").agg(value_of(at(0.25)).alias("q25"), (value_of(at(0.75) + 1) - 1).alias("q75"), F.max("all").alias("texts"))
         width = fence * (F.col("q75") - F.col("q25"))
         return q.select(*keys, "rate", "texts", (F.col("q25") - width).alias("low"), (F.col("q75") + width).alias("high"))
 
