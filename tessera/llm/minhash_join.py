@@ -33,7 +33,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 6
 """MinHash values in a band."""
-BLOCK_NODES = 256
+BLOCK_NODES = 128
 BLOCK_GRAMS = 1 << 20
 """A block holds about so many nodes, and n-grams, at most."""
 FILTER_BITS = 24
