@@ -10,9 +10,12 @@ from tessera.llm.packing import op4_best_fit_packing
 from tessera.llm.quality import op5_adaptive_quality
 from tessera.llm.sanitise import op9_information_theoretic_pii
 from tessera.llm.sitetree import op8_site_style_tree
+from tessera.llm.sql import ORACLE_SQL
 from tessera.llm.suffix_lm import op1_suffix_tree_scores
 from tessera.llm.warc import op6_sharded_warc
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_entropy_balancing": op2_entropy_balancing,
@@ -25,5 +28,3 @@ QUERIES = {
     "op9_information_theoretic_pii": op9_information_theoretic_pii,
     "op10_minhash_jaccard_join": op10_minhash_jaccard_join,
 }
-
-ORACLE_SQL: dict[str, str] = {}
