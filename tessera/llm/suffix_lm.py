@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,86 +44,117 @@ END = 255
 SYMBOLS = 257
 SEGMENT = 512
 BLOCK = 1 << 14
-FLUSH = 4 << 20
-"""Windows or words that a task counts before it merges, and different ones it holds before it passes them on."""
-KNOWN_WORDS = 1_000_000
+FLUSH = 1 << 20
+"""Windows or words a task gathers, at least, before it merges them with those it has."""
+HOLD = 2 << 20
+"""Different ones it holds before it passes them on."""
+SLICE = 300
+"""Texts handled at once."""
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def _hash(word: bytes) -> int:
+def _hash(words: pa.Array) -> np.ndarray:
     import xxhash
 
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = _hash(word)
-        return h
-
-
-def stream(texts: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bytes, each text after `depth` end symbols and before one; which of them are scored; where texts begin."""
-    pad = bytes([END]) * depth
-    parts = [b" ".join(w) for w in texts]
-    raw = np.frombuffer(b"".join(x for p in parts for x in (pad, p, pad[:1])), np.uint8)
-    starts = np.cumsum([0, *(len(p) + depth + 1 for p in parts)])[:-1]
-    scored = np.ones(len(raw), bool)
-    for i in range(depth):
-        scored[starts + i] = False
-    return raw, scored, starts
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words)).view(np.int64)
 
 
-def windows(texts: list[list[bytes]], depth: int = DEPTH) -> np.ndarray:
+@dataclass
+class Batch:
+    """Texts as Arrow reads them. tokens: their words, in lower case, text by text; owner: the text of each word."""
+
+    tokens: pa.Array
+    owner: np.ndarray
+    bounds: np.ndarray
+    raw: np.ndarray
+    scored: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def read(cls, texts: pa.Array, depth: int = DEPTH) -> Batch:
+        """raw: the texts' bytes, each text after `depth` end symbols and before one; scored: all but those before; starts: where texts begin."""
+        texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+        split = pc.ascii_split_whitespace(texts)
+        tokens, owner = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+        filled = pc.greater(pc.binary_length(tokens), 0)
+        if not pc.all(filled, min_count=0).as_py():
+            tokens, owner = tokens.filter(filled), owner[filled.to_numpy(zero_copy_only=False)]
+        joined = pc.binary_join(split, pa.scalar(" ", pa.large_string()))
+        sizes = pc.binary_length(joined).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(np.r_[0, sizes + depth + 1])
+        raw = np.full(starts[-1], END, np.uint8)
+        scored = np.ones(len(raw), bool)
+        for i in range(depth):
+            scored[starts[:-1] + i] = False
+        bytes_ = scored.copy()
+        bytes_[starts[1:] - 1] = False
+        buffer, first = joined.buffers()[2], joined.buffers()[1]
+        edges = np.frombuffer(first, np.int64)[joined.offset : joined.offset + len(joined) + 1]
+        if buffer is not None:
+            raw[bytes_] = np.frombuffer(buffer, np.uint8)[edges[0] : edges[-1]]
+        return cls(tokens, owner, np.searchsorted(owner, np.arange(len(texts) + 1)), raw, scored, starts[:-1])
+
+
+def windows(batch: Batch, depth: int = DEPTH) -> np.ndarray:
     """A number for each scored byte: the bytes before it, the last first, then the byte."""
-    raw, scored, _ = stream(texts, depth)
-    at = np.flatnonzero(scored)
-    key = np.zeros(len(at), np.int64)
+    raw = batch.raw
+    n = len(raw) - depth
+    key = np.zeros(n, np.int64)
     for d in range(1, depth + 1):
-        key = (key << 8) | raw[at - d]
-    return (key << 8) | raw[at]
+        key <<= 8
+        key |= raw[depth - d : depth - d + n]
+    key <<= 8
+    key |= raw[depth:]
+    return key[batch.scored[depth:]]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, none of them empty. They are copied: Arrow's string functions go wrong on slices that are cast."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.take(pa.array(np.arange(at, min(b.num_rows, at + SLICE))))
 
 
 class _Counter:
-    """Counts of numbers, merged now and then."""
+    """Counts of numbers. What was added last is merged with the rest once it is as much."""
 
     def __init__(self):
-        self.loose: list[np.ndarray] = []
-        self.n = 0
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.loose: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.loose.append(keys)
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """keys: ascending and different."""
+        self.loose.append((keys, counts))
         self.n += len(keys)
-        if self.n >= FLUSH:
+        if self.n >= max(FLUSH, len(self.keys)):
             self.merge()
 
     def merge(self) -> None:
-        keys, counts = np.unique(np.concatenate([*self.loose, np.zeros(0, np.int64)]), return_counts=True)
-        if len(self.keys):
-            every = np.concatenate([self.keys, keys])
-            order = np.argsort(every, kind="stable")
-            every, both = every[order], np.concatenate([self.counts, counts])[order]
-            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-            keys, counts = every[first], np.add.reduceat(both, first)
-        self.keys, self.counts, self.loose, self.n = keys, counts, [], 0
+        parts = [(self.keys, self.counts), *self.loose]
+        self.keys = self.counts = self.loose = None
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        counts = np.concatenate([c for _, c in parts])[order]
+        del parts, order
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.loose, self.n = [], 0
 
     def drain(self, least: int) -> tuple[np.ndarray, np.ndarray] | None:
-        if least == 0:
-            self.merge()
-        if len(self.keys) <= least:
+        if len(self.keys) + self.n <= least:
             return None
+        self.merge()
         out = self.keys, self.counts
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         return out
 
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    counters, hashes = (_Counter(), _Counter()), _Hashes()
+    counters = (_Counter(), _Counter())
+    loose: list[np.ndarray] = []
+    held = 0
 
     def rows(least: int) -> Iterator[pa.RecordBatch]:
         for kind, c in enumerate(counters):
@@ -131,14 +163,26 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
                     k, n = (x[at : at + (1 << 16)] for x in out)
                     yield pa.record_batch([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n)], names=["kind", "key", "n"])
 
-    for b in batches:
-        texts = [words_of(t.as_py()) for t in b.column(0)]
-        if len(hashes) > KNOWN_WORDS:
-            hashes.clear()
-        tokens = [w for t in texts for w in (*t, b"")]
-        counters[0].add(np.fromiter(map(hashes.__getitem__, tokens), np.int64, len(tokens)))
-        counters[1].add(windows(texts, depth))
-        yield from rows(2 * FLUSH)
+    def settle() -> None:
+        nonlocal held
+        if loose:
+            counters[1].add(*np.unique(np.concatenate(loose), return_counts=True))
+            loose.clear()
+            held = 0
+
+    for b in slices(batches):
+        batch = Batch.read(b.column(0), depth)
+        times = batch.tokens.value_counts()
+        keys = np.r_[_hash(times.field(0)), _hash(pa.array([""]))]
+        order = np.argsort(keys)
+        counters[0].add(keys[order], np.r_[times.field(1).to_numpy(), b.num_rows][order])
+        loose.append(windows(batch, depth))
+        held += len(loose[-1])
+        if held >= FLUSH:
+            settle()
+        yield from rows(HOLD)
+        pa.default_memory_pool().release_unused()
+    settle()
     yield from rows(0)
 
 
@@ -151,7 +195,10 @@ def count_corpus(training: DataFrame, text: str = "text", depth: int = DEPTH) ->
 
 @dataclass
 class Tree:
-    """The automaton. symbol: the class of a byte; follow and log10p: next state and log10 probability by state and class."""
+    """The automaton. symbol: the class of a byte; follow and log10p: next state and log10 probability by state and class.
+
+    A state is the place in these of its first class.
+    """
 
     symbol: np.ndarray
     follow: np.ndarray
@@ -219,7 +266,7 @@ def grow(order: np.ndarray, key: np.ndarray, n: np.ndarray, depth: int = DEPTH,
         state = state[x["owner"]] if len(x["owner"]) else np.zeros(0, np.int64)
         has = state >= 0
         log10p[state[has], symbol[x["keys"][has] & 255]] = np.log10(x["p"][has])
-    return Tree(symbol, follow.ravel(), log10p.ravel(), depth, sum(len(x) for x in retained))
+    return Tree(symbol, (follow * width).ravel(), log10p.ravel(), depth, sum(len(x) for x in retained))
 
 
 def learn_tree(counted: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, gain: float = GAIN) -> Tree:
@@ -237,66 +284,67 @@ def learn_tree(counted: DataFrame, depth: int = DEPTH, min_share: float = MIN_SH
 
 def run_tree(tree: Tree, raw: np.ndarray) -> np.ndarray:
     """log10 probabilities of all bytes, each after the `depth` bytes before it; many segments at once, step by step."""
-    width, warm = int(tree.symbol.max()) + 1, tree.depth
-    symbols = tree.symbol[raw]
+    warm = tree.depth
     n = -(-len(raw) // SEGMENT)
-    padded = np.concatenate([np.full(warm, tree.symbol[END]), symbols, np.zeros(n * SEGMENT - len(raw), np.int64)])
+    padded = np.full(warm + n * SEGMENT, tree.symbol[END], np.int32)
+    padded[warm : warm + len(raw)] = tree.symbol.astype(np.int32)[raw]
     out = np.empty(n * SEGMENT, np.float32)
     for low in range(0, n, BLOCK):
-        at = np.arange(low, min(n, low + BLOCK)) * SEGMENT
-        state = np.zeros(len(at), np.int64)
-        part = np.empty((SEGMENT, len(at)), np.float32)
+        rows = min(n, low + BLOCK) - low
+        view = np.lib.stride_tricks.as_strided(padded[low * SEGMENT :], (SEGMENT + warm, rows), (4, 4 * SEGMENT))
+        symbols = np.ascontiguousarray(view)
+        state = np.zeros(rows, np.int32)
+        part = np.empty((SEGMENT, rows), np.float32)
         for step in range(SEGMENT + warm):
-            place = state * width + padded[at + step]
+            place = (state + symbols[step]).astype(np.intp)
             if step >= warm:
-                part[step - warm] = tree.log10p[place]
-            state = tree.follow[place]
+                tree.log10p.take(place, out=part[step - warm], mode="clip")
+            state = tree.follow.take(place, mode="clip")
         out[low * SEGMENT : low * SEGMENT + part.size] = part.T.ravel()
     return out[: len(raw)]
 
 
-class _Vocabulary(dict):
-    """Of a word, its place among the heavy words, or -1 - its place among the rare words met so far."""
-
-    def __init__(self, heavy: np.ndarray):
-        super().__init__()
-        self.heavy, self.rare = heavy, []
-
-    def __missing__(self, word: bytes) -> int:
-        h = _hash(word)
-        i = int(np.searchsorted(self.heavy, h))
-        if i == len(self.heavy) or self.heavy[i] != h:
-            self.rare.append(h)
-            i = -len(self.rare)
-        self[word] = i
-        return i
-
-
 SCORED = "n_tokens long, heavy_known long, heavy_score double, score double, rare array<long>, rare_n array<long>"
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: tuple, text: int) -> Iterator[pa.RecordBatch]:
     tree, heavy, heavy_n, z = model
-    logs = np.log10((heavy_n + ADD) / z)
-    vocabulary, uid = _Vocabulary(heavy), TaskContext.get().partitionId() << 33
-    for b in batches:
-        if len(vocabulary) > KNOWN_WORDS:
-            vocabulary = _Vocabulary(heavy)
-        texts = [words_of(t.as_py()) for t in b.column(text)]
-        raw, scored, starts = stream(texts, tree.depth)
-        scores = np.add.reduceat(np.where(scored, run_tree(tree, raw), np.float32(0)).astype(np.float64), starts)
-        rows = []
-        for t, s in zip(texts, scores.tolist(), strict=True):
-            t.append(b"")
-            places = np.fromiter(map(vocabulary.__getitem__, t), np.int64, len(t))
-            common = places[places >= 0]
-            rare, times = np.unique(places[places < 0], return_counts=True)
-            rows.append((len(t), len(common), float(logs[common].sum()), s, [vocabulary.rare[-1 - i] for i in rare.tolist()], times.tolist()))
+    logs = np.r_[np.log10((heavy_n + ADD) / z), 0.0]
+    uid = TaskContext.get().partitionId() << 33
+
+    def place(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each word, and its place among the heavy words, or the place after all of them."""
+        hashes = _hash(words)
+        at = np.searchsorted(heavy, hashes)
+        found = np.append(heavy, 0)[at] == hashes
+        return hashes, np.where(found & (at < len(heavy)), at, len(heavy))
+
+    end_hash, end_at = place(pa.array([""]))
+    for b in slices(batches):
+        n = b.num_rows
+        batch = Batch.read(b.column(text), tree.depth)
+        scores = np.add.reduceat(np.where(batch.scored, run_tree(tree, batch.raw), np.float32(0)).astype(np.float64), batch.starts)
+        coded = batch.tokens.dictionary_encode()
+        hashes, places = place(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        where = places[codes]
+        known = where < len(heavy)
+        tokens = np.diff(batch.bounds) + 1
+        common = np.bincount(batch.owner[known], minlength=n) + (end_at[0] < len(heavy))
+        base = np.bincount(batch.owner, logs[where], minlength=n) + logs[end_at[0]]
+        # Rare words, each once a text, with how often it has them.
+        pairs, times = np.unique(batch.owner[~known].astype(np.int64) * max(1, len(hashes)) + codes[~known], return_counts=True)
+        whose, word = pairs // max(1, len(hashes)), hashes[pairs % max(1, len(hashes))] if len(pairs) else np.zeros(0, np.int64)
+        if end_at[0] == len(heavy):
+            order = np.argsort(np.r_[whose, np.arange(n)], kind="stable")
+            whose, word, times = (np.r_[x, y][order] for x, y in ((whose, np.arange(n)), (word, np.full(n, end_hash[0])), (times, np.ones(n, np.int64))))
+        edges = pa.array(np.searchsorted(whose, np.arange(n + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int64))) for x in (word, times)]
         kept = [i for i in range(b.num_columns) if i != text]
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        yield pa.record_batch([pa.array(np.arange(uid, uid + len(rows))), *(b.column(i) for i in kept), *made], names=["_row", *(b.schema.names[i] for i in kept), *(x.split()[0] for x in SCORED.split(", "))])
-        uid += len(rows)
+        made = [pa.array(tokens.astype(np.int64)), pa.array(common.astype(np.int64)), pa.array(base), pa.array(scores), *lists]
+        yield pa.record_batch([pa.array(np.arange(uid, uid + n)), *(b.column(i) for i in kept), *made], names=["_row", *(b.schema.names[i] for i in kept), *(x.split()[0] for x in SCORED.split(", "))])
+        uid += n
+        pa.default_memory_pool().release_unused()
 
 
 def score(docs: DataFrame, keep: list[str], counted: DataFrame, tree: Tree, text: str = "text", heavy_share: float = HEAVY_SHARE) -> DataFrame:

@@ -53,6 +53,16 @@ def test_tree_against_plain(spark, depth):
         assert got == pytest.approx(want, rel=1e-5, abs=1e-4)
 
 
+def test_slices_read_all_words(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "SLICE", 7)
+    texts = [prose(i % 11, i) + " Éa\t\x1cb  " for i in range(60)] + [None, ""]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    got = [w for b in S.slices(iter([batch, batch.slice(0, 0)])) for w in S.Batch.read(b.column(0)).tokens.cast(pa.binary()).to_pylist()]
+    assert got == [w for t in texts for w in (t or "").encode().lower().split()]
+
+
 def test_distributions_sum_to_one(spark):
     docs = documents(spark, [(i, prose(50, i)) for i in range(20)])
     tree = S.learn_tree(S.count_corpus(docs), min_share=1e-4)
