@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = store(placed, "placed")
-    ids = placed.groupBy("root").agg(F.min("first").alias("class_id"))
+    ids = store(placed.groupBy("root").agg(F.min("first").alias("class_id")), "ids")
     placed = store(placed.join(ids, "root").select("node", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     out = keys.select("doc_id", "node").join(placed, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
@@ -313,11 +313,12 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     """docs with one row of each class of near_duplicates(): that with the smallest doc_id.
 
     Rows that share an id and a text stay once. Rows without an id belong to no class's choice: they stay, also once a text.
+    What is dropped grows with the documents, so the join sorts and merges at every size.
     """
     found = store(near_duplicates(docs, doc_id, text, **options), "duplicates")
     dropped = found.filter("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("_drop")).distinct()
     again = store(found.filter("doc_id is null or doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    left = docs.join(dropped, docs[doc_id] == dropped["_drop"], "left_anti")
+    left = docs.join(dropped.hint("merge"), docs[doc_id] == dropped["_drop"], "left_anti")
     if not again.limit(1).count():
         return left
     repeats = left[doc_id].eqNullSafe(again["doc_id"])

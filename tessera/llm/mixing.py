@@ -122,8 +122,9 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: floa
 
 
 def _with_plan(docs: DataFrame, planned: DataFrame, doc_id: str, source: str, size: Column, columns: list[Column]) -> DataFrame:
+    """docs with columns of their plan, which has about as many rows: they are sorted and merged at every size."""
     same = F.col(f"d.{doc_id}").eqNullSafe(F.col("r.doc_id")) & F.col(f"d.{source}").eqNullSafe(F.col("r.source")) & (size == F.col("r.size"))
-    return docs.alias("d").join(planned.alias("r"), same).select("d.*", *columns)
+    return docs.alias("d").join(planned.alias("r").hint("merge"), same).select("d.*", *columns)
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
