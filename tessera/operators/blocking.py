@@ -97,9 +97,12 @@ def found(sources: DataFrame, targets: DataFrame, names: tuple[str, ...]) -> Dat
 
 
 def candidates(sources: DataFrame, targets: DataFrame, strategy: str | tuple[str, ...] = "8") -> DataFrame:
-    """(s1_id, target_id, pass_count) of a strategy."""
+    """(s1_id, target_id, pass_count) of a strategy.
+
+    Pairs are dealt by source before they are counted, so that the join with the sources' records needs no other shuffle.
+    """
     names = STRATEGIES[strategy] if isinstance(strategy, str) else strategy
-    return found(sources, targets, names).groupBy("s1_id", "target_id").agg(F.count("*").alias("pass_count"))
+    return found(sources, targets, names).repartition("s1_id").groupBy("s1_id", "target_id").agg(F.count("*").alias("pass_count"))
 
 
 def merge(*pairs: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def builtin_features(topk: DataFrame, k: int = 25) -> DataFrame:
 
 def features(topk: DataFrame, names: tuple[str, ...] = FEATURES_30, k: int = 25, keep: tuple[str, ...] = ()) -> DataFrame:
     """(s1_id, target_id, *keep, *names as f_*) of a top-K list; core names are compared if it has s1_core and t_core."""
-    base = with_max_pass(topk).withColumn("_m", arrow())
+    base = (with_max_pass(topk) if "pass_count_norm" in names else topk.withColumn("max_pass", F.lit(1))).withColumn("_m", arrow())
     sort, place = F.col("_m.name_token_sort_ratio"), F.col("_m.addr_token_sort_ratio")
     core = _both(F.col("s1_core"), F.col("t_core")) if "s1_core" in topk.columns else _both(F.col("s1_norm_name"), F.col("t_norm_name"))
     made = builtin(k) | {n: F.col(f"_m.{n}") for n in ("name_token_sort_ratio", "name_token_set_ratio", "name_partial_ratio", "name_jaro_winkler", "name_char_sim", "addr_token_sort_ratio", "addr_token_set_ratio", "addr_char_sim")}
