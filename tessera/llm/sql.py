@@ -59,4 +59,11 @@ limits AS (SELECT lang, source, {_limits} FROM chosen GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_verdict} AS kept
 FROM rated r LEFT JOIN limits m ON r.lang IS NOT DISTINCT FROM m.lang AND r.source IS NOT DISTINCT FROM m.source"""
 
-ORACLE_SQL = {"op5_adaptive_quality": QUALITY, "op10_minhash_jaccard_join": NEAR_DUPLICATES}
+_value_of = "list_sum(list_transform(range(5), lambda j: CASE WHEN substr(bits, 5 * i + j + 1, 1) = '1' THEN 1 << (4 - j)::int ELSE 0 END))::int"
+_bits = "array_to_string(list_transform(string_split(sha1(payload), ''), lambda d: array_to_string(list_transform(range(4), lambda j: ((instr('0123456789abcdef', d) - 1) >> (3 - j)::int) & 1), '')), '')"
+ARCHIVE = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+b AS (SELECT *, {_bits} AS bits FROM p)
+SELECT page_id, strlen(payload) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_value_of}, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM b"""
+
+ORACLE_SQL = {"op6_sharded_warc": ARCHIVE, "op5_adaptive_quality": QUALITY, "op10_minhash_jaccard_join": NEAR_DUPLICATES}

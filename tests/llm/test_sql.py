@@ -13,9 +13,12 @@ def test_oracle(spark, data, tmp_path, name):
     rows = [(i, t, None if i % 4 == 0 else "en", None if i % 3 == 0 else "a") for i, t in enumerate(texts)]
     small = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{small}/documents.parquet")
-    for folder, pattern in ((data, "documents.parquet"), (small, "documents.parquet/*.parquet")):
+    pages = [(i, f"http://h/{i}", t) for i, t in enumerate(["<p>a", "", None, "<p>a", "é" * 99, "<p>b"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{small}/pages.parquet")
+    for folder, pattern in ((data, ""), (small, "/*.parquet")):
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/{pattern}'")
+        for table in ("documents", "pages"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet{pattern}'")
         want = con.execute(ORACLE_SQL[name])
         names = [d[0] for d in want.description]
         got = QUERIES[name](spark, folder)
