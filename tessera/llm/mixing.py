@@ -22,7 +22,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_RATE = 2
 BUCKET_ROWS = 500
-TOLERANCE = 1e-10
+TOLERANCE = 1e-12
+DIGITS = 9
+"""Decimals of a dual variable: sums in another order differ by less, so reruns agree."""
 MAX_STEPS = 60
 
 
@@ -87,7 +89,7 @@ def solve(hist: DataFrame, sources: DataFrame, max_rate: float = MAX_RATE, toler
         if not state.filter(~F.col("done")).limit(1).count():
             break
         state = state.drop("done")
-    return state.select("source", "mean", "full", "lam")
+    return state.select("source", "mean", "full", F.round("lam", DIGITS).alias("lam"))
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
