@@ -46,6 +46,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(MAX_BATCH_ROWS))
 
 
+def tidy(batches):
+    """Arrow batches; what Arrow has freed goes back to the system after each."""
+    import pyarrow as pa
+
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import documents, small_batches, store
+from tessera.llm.common import documents, small_batches, store, tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -39,7 +39,7 @@ BLOCK_GRAMS = 1 << 20
 FILTER_BITS = 24
 """Two to this power are the bits of the filter of candidate texts."""
 SEED = 7919
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 250_000
 
 M64 = (1 << 64) - 1
 
@@ -122,7 +122,7 @@ def band_hashes(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], words: int, n_bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in tidy(batches):
         found = [gram_hashes(t.as_py(), words) for t in b.column(1)]
         some = [i for i, (_, g) in enumerate(found) if len(g)]
         buckets: list = [None] * len(found)
@@ -134,7 +134,7 @@ def _keys(batches: Iterator[pa.RecordBatch], words: int, n_bands: int, rows: int
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in tidy(batches):
         nodes, sets = [], []
         for t in b.column(0):
             node, grams = gram_hashes(t.as_py(), words)
@@ -217,7 +217,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     def batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["node", "links", "to"])
 
-    for b in batches:
+    for b in tidy(batches):
         root, low, high, block, node, copies = (b.column(i).to_pylist() for i in range(6))
         sets = b.column(6)
         out: list = []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, small_batches
+from tessera.llm.common import documents, small_batches, tidy
 
 WINDOW = 1024
 END_ID = 0
@@ -181,7 +181,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int,
         rests.clear()
         return batch(rows)
 
-    for b in batches:
+    for b in tidy(batches):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             ids = enc.encode(text.as_py() or "") + end
             total = len(ids) // 4

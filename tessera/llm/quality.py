@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import documents, small_batches, store
+from tessera.llm.common import documents, small_batches, store, tidy
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -79,7 +79,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], text: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in tidy(batches):
         found = np.array([counts(t.as_py()) for t in b.column(text)], np.int64).reshape(-1, len(COUNTS))
         kept = [i for i in range(b.num_columns) if with_text or i != text]
         yield pa.record_batch([*(b.column(i) for i in kept), *(pa.array(c) for c in found.T)], names=[*(b.schema.names[i] for i in kept), *COUNTS])

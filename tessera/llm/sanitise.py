@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import documents, small_batches, store
+from tessera.llm.common import documents, small_batches, store, tidy
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 8
@@ -41,7 +41,7 @@ REMOVAL = 0.95
 MIN_TERM = 3
 """Characters of the shortest term."""
 FILTER_BITS = 24
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 FLUSH = 500_000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,7 +164,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found.clear()
         return out
 
-    for b in batches:
+    for b in tidy(batches):
         for t in b.column(0):
             text = t.as_py() or ""
             spans = base_spans(text)
@@ -208,7 +208,7 @@ def term_filter(found: DataFrame) -> np.ndarray | None:
 def _frequencies(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(term, docs) of the filter's terms."""
     known, found = _Filter(bits), Counter()
-    for b in batches:
+    for b in tidy(batches):
         if len(known) > KNOWN_WORDS:
             known.clear()
         for t in b.column(0):
@@ -245,7 +245,7 @@ def disclosures(docs: DataFrame, text: str = "text", threshold: float = DISCLOSU
 
 def _find(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None, text: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     known, uid = _Filter(bits if bits is not None else np.zeros(0, np.uint64)), TaskContext.get().partitionId() << 33
-    for b in batches:
+    for b in tidy(batches):
         if len(known) > KNOWN_WORDS:
             known.clear()
         base, hits = [], []
@@ -295,7 +295,7 @@ def cleaned(text: str, base: list[tuple[int, int, int]], revealing: list[tuple[i
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in tidy(batches):
         new = []
         for t, base, revealing in zip(b.column(1), b.column(2), b.column(3), strict=True):
             value, base, revealing = t.as_py(), base.as_py(), revealing.as_py()
