@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@lru_cache(1 << 12)
+def _masks(a: str) -> dict[str, int]:
+    """Where each character stands in a string, as bits. A source's strings come again with each of its candidates."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | (1 << i)
+    return masks
+
+
+@lru_cache(1 << 14)
+def _sorted_words(a: str) -> str:
+    return " ".join(sorted(a.split()))
+
+
+@lru_cache(1 << 14)
+def _words(a: str) -> frozenset[str]:
+    return frozenset(a.split())
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence; one big integer holds a row of the table."""
     if not a or not b:
         return 0
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | (1 << i)
+    if a == b:
+        return len(a)
+    at = _masks(a).get
     full = row = (1 << len(a)) - 1
     for c in b:
-        hit = row & masks.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
+        hit = row & at(c, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
@@ -28,12 +50,12 @@ def ratio(a: str, b: str) -> float:
 
 
 def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return ratio(_sorted_words(a), _sorted_words(b))
 
 
 def token_set_ratio(a: str, b: str) -> float:
     """The best ratio among common words, and common words with either side's other words; 0 if a side has no words."""
-    x, y = set(a.split()), set(b.split())
+    x, y = _words(a), _words(b)
     if not x or not y:
         return 0.0
     both, one, other = sorted(x & y), " ".join(sorted(x - y)), " ".join(sorted(y - x))
@@ -100,10 +122,20 @@ def measures(**wanted: tuple[str, Column, Column]) -> Column:
     names = list(wanted)
     functions = [MEASURES[wanted[k][0]] for k in names]
 
+    def all_of(f, one: pd.Series, other: pd.Series) -> list[float]:
+        """f of each pair; pairs that come again in a batch are computed once."""
+        known: dict[tuple[str, str], float] = {}
+        out = []
+        for pair in zip(one.fillna(""), other.fillna(""), strict=True):
+            v = known.get(pair)
+            if v is None:
+                v = known[pair] = f(*pair)
+            out.append(v)
+        return out
+
     @F.pandas_udf(", ".join(f"{k} double" for k in names))
     def compute(*sides: pd.Series) -> pd.DataFrame:
-        sides = [s.fillna("") for s in sides]
-        return pd.DataFrame({k: [f(a, b) for a, b in zip(sides[2 * i], sides[2 * i + 1], strict=True)] for i, (k, f) in enumerate(zip(names, functions, strict=True))}, dtype="float64")
+        return pd.DataFrame({k: all_of(f, sides[2 * i], sides[2 * i + 1]) for i, (k, f) in enumerate(zip(names, functions, strict=True))}, dtype="float64")
 
     return compute(*[c for k in names for c in wanted[k][1:]])
 
