@@ -3,9 +3,13 @@
 The pages of a host are merged into one tree: an element's place in it is the chain of tags, classes and ids that leads
 to it. A place keeps how many pages have it, in which presentations (the tags of its children) and, if it has text of
 its own, with which contents. Presentations spread evenly over many kinds carry information, and so do contents that
-few pages share: the importance of a place is (1 - GAMMA) times the entropy of its presentations and GAMMA times the
-mean of 1 - log_m(df) over the contents at and below it, m the pages and df those with the same content. Branches below
-LEAST importance are removed from each page of the host that has at least MIN_PAGES pages with them.
+few pages share: with m the pages and df those with the same content, a content's information is 1 - log_m(df), and one
+below LEAST is shared. The importance of a place is (1 - GAMMA) times the entropy of its presentations and GAMMA times
+the information, at most 1, that its contents which aren't shared give a page on average; shared ones beside them take
+none away. Where at least MIN_PAGES pages have a place of less than LEAST importance, its shared contents are removed.
+So a branch goes if no place in it is important, whatever is around it, and contents that few pages have stay anywhere,
+as does what stands directly in html, body, main or article. If all of a page's articles (or its main part, or its
+body) would go, as on a host made of copies, they stay.
 
 Hosts with few pages tell little by statistics, so elements whose tag, role or name says that they are menus, headers,
 footers, sidebars, notices, adverts, forms, scripts or reader comments go as well. What is left of the page's
@@ -52,6 +56,8 @@ NOISE_NAME = re.compile(
 HEADER_NAME = re.compile(r"(?:site|page|main|top|global)?[-_]*header(?:[-_]*(?:area|bar|inner|top|wrap|wrapper|\d+))*")
 KEPT_TAGS = frozenset(("html", "body", "main", "article"))
 
+BREAK = (None, False, False, False, False, False)
+
 _tag = re.compile(r"<([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _attribute = re.compile(r"(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'=<>`]++))", re.I)
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -110,11 +116,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 class Node:
     """An open element."""
 
-    __slots__ = ("tag", "place", "noise", "header", "kinds", "article", "main", "places")
+    __slots__ = ("tag", "place", "noise", "header", "kinds", "article", "main", "own")
 
-    def __init__(self, tag: str, place: int, places: tuple, noise: bool, header: bool, article: bool, main: bool):
-        self.tag, self.place, self.places, self.noise, self.header, self.article, self.main = tag, place, places, noise, header, article, main
+    def __init__(self, tag: str, place: int, noise: bool, header: bool, article: bool, main: bool):
+        self.tag, self.place, self.noise, self.header, self.article, self.main = tag, place, noise, header, article, main
         self.kinds: list[str] = []
+        self.own: list[int] = []
 
 
 def named_noise(tag: str, attributes: str) -> tuple[bool, bool, str]:
@@ -139,33 +146,38 @@ def named_noise(tag: str, attributes: str) -> tuple[bool, bool, str]:
 
 
 def walk(page: str, low: frozenset[int] = frozenset(), seen: Counter | None = None) -> list[tuple]:
-    """The page's pieces of text: (text or None for a break, noise, header, in an article, in the main part).
+    """The page's pieces of text: (text or None for a break, noise, header, in an article, in the main part, low).
 
-    low: places whose branches are noise. With `seen`, the page's places, presentations and contents are counted in it.
+    low: place ^ content of the texts that tell too little. With `seen`, the page's places, presentations and contents
+    are counted in it.
     """
-    stack = [Node("", 0, (), False, False, False, False)]
+    stack = [Node("", 0, False, False, False, False)]
     opened: Counter = Counter()
     out: list[tuple] = []
     found: set[tuple] = set()
-    own: dict[int, list[str]] = {}
+    judged = bool(low) or seen is not None
 
     def close() -> None:
         n = stack.pop()
         opened[n.tag] -= 1
         if seen is not None:
             found.add((n.place, 1, _hash(",".join(n.kinds))))
-            if text := " ".join("".join(own.pop(id(n), ())).split()):
-                content = _hash(text)
-                found.update((p, 2, content) for p in (*n.places, n.place))
+        if n.own:
+            content = _hash(" ".join("".join([out[i][0] for i in n.own]).split()))
+            if seen is not None:
+                found.add((n.place, 2, content))
+            if n.place ^ content in low:
+                for i in n.own:
+                    out[i] = (*out[i][:5], True)
         if n.tag not in INLINE:
-            out.append((None, False, False, False, False))
+            out.append(BREAK)
 
     for kind, name, rest in tokens(page):
         top = stack[-1]
         if kind == "text":
-            out.append((rest, top.noise, top.header, top.article, top.main))
-            if seen is not None and len(stack) > 1 and not rest.isspace():
-                own.setdefault(id(top), []).append(rest)
+            if judged and not top.noise and top.tag not in KEPT_TAGS and len(stack) > 1 and not rest.isspace():
+                top.own.append(len(out))
+            out.append((rest, top.noise, top.header, top.article, top.main, False))
         elif kind == "start":
             if name in CLOSES_P and opened["p"]:
                 while stack[-1].tag in INLINE or stack[-1].tag == "p":
@@ -180,13 +192,13 @@ def walk(page: str, low: frozenset[int] = frozenset(), seen: Counter | None = No
                         close()
             top = stack[-1]
             if name not in INLINE:
-                out.append((None, False, False, False, False))
+                out.append(BREAK)
             top.kinds.append(name)
             if name in VOID or name in ("script", "style"):
                 continue
             noise, header, names = named_noise(name, rest)
             place = _hash(f"{top.place}>{name}.{names}")
-            node = Node(name, place, (*top.places, top.place)[-24:] if len(stack) > 1 else (), top.noise or noise or name in RAW or place in low, top.header or header, top.article or name == "article", top.main or name == "main" or 'role="main"' in rest)
+            node = Node(name, place, top.noise or noise or name in RAW, top.header or header, top.article or name == "article", top.main or name == "main" or 'role="main"' in rest)
             if header and (top.article or top.main):
                 node.header = top.header
             if not rest.endswith("/") or name not in ("svg", "path"):
@@ -197,7 +209,7 @@ def walk(page: str, low: frozenset[int] = frozenset(), seen: Counter | None = No
                 close()
             close()
         elif name in ("p", "br"):
-            out.append((None, False, False, False, False))
+            out.append(BREAK)
     while len(stack) > 1:
         close()
     if seen is not None:
@@ -206,23 +218,27 @@ def walk(page: str, low: frozenset[int] = frozenset(), seen: Counter | None = No
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The text of a page's articles, or else its main part, or else its body, without noise."""
-    pieces = walk(page or "", low)
+    """The text of a page's articles, or else its main part, or else its body, without noise.
+
+    low: as in walk(). The first of these parts that has text, but none that isn't low, stays beside what is taken.
+    """
+    pieces = [x for x in walk(page or "", low) if x[0] is None or not (x[1] or x[2])]
+    spared = None
+
+    def joined(part: int | None, every: bool) -> str:
+        taken = lambda x: (part is None or x[part]) and (every or not x[5]) or spared is not None and x[spared]
+        return " ".join(entities.unescape("".join([" " if x[0] is None else x[0] for x in pieces if x[0] is None or taken(x)])).split())
+
     for part in (3, 4, None):
-        words: list[str] = []
-        for x in pieces:
-            if x[0] is None:
-                words.append(" ")
-            elif not x[1] and not x[2] and (part is None or x[part]):
-                words.append(x[0])
-        text = " ".join(entities.unescape("".join(words)).split())
-        if text:
-            return text
-    return ""
+        if any(x[0] is not None and (part is None or x[part]) and not x[5] and entities.unescape(x[0]).strip() for x in pieces):
+            return joined(part, False)
+        if spared is None and part is not None and joined(part, True):
+            spared = part
+    return joined(None, spared is None)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, place, kind, item, pages): kind 0 counts pages, 1 presentations, 2 contents at or below."""
+    """(host, place, kind, item, pages): kind 0 counts pages, 1 presentations, 2 contents."""
     seen: dict[str, Counter] = {}
 
     def rows() -> pa.RecordBatch:
@@ -242,23 +258,29 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def low_places(pages: DataFrame, url: str = "url", page: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, places): the places of each host whose branches carry too little information."""
+def low_texts(pages: DataFrame, url: str = "url", page: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, low): place ^ content of the shared contents in places of little importance.
+
+    A page of c contents has at most c that are shared, each by over m ** (1 - least) of m pages, so a host has at most
+    c * m ** least of them.
+    """
     small_batches(pages.sparkSession)
     counts = pages.select(url, page).mapInArrow(_merge, "host string, place long, kind long, item long, pages long")
-    counts = counts.groupBy("host", "place", "kind", "item").agg(F.sum("pages").alias("pages"))
+    counts = store(counts.groupBy("host", "place", "kind", "item").agg(F.sum("pages").alias("pages")), "counts")
+    sizes = counts.filter(F.col("kind") == 0).filter(F.col("pages") >= max(2, min_pages)).select("host", "place", F.col("pages").alias("m"))
     df = F.col("pages").cast("double")
-    sums = counts.groupBy("host", "place").agg(
-        F.max(F.when(F.col("kind") == 0, df)).alias("m"),
+    told = 1 - F.log(df) / F.log("m")
+    rows = counts.filter("kind > 0").join(sizes, ["host", "place"])
+    sums = rows.groupBy("host", "place", "m").agg(
         F.sum(F.when(F.col("kind") == 1, df * F.log(df))).alias("forms_log"), F.sum(F.when(F.col("kind") == 1, df)).alias("forms"),
-        F.sum(F.when(F.col("kind") == 2, df * F.log(df))).alias("contents_log"), F.sum(F.when(F.col("kind") == 2, df)).alias("contents"),
+        F.sum(F.when((F.col("kind") == 2) & (told >= least), df * told)).alias("told"), F.count(F.when((F.col("kind") == 2) & (told < least), 1)).alias("shared"),
     )
-    sums = sums.filter(F.col("m") >= max(2, min_pages))
     # A sum of n values' entropies to base m: (log n - sum(x log x) / n) / log m.
     form = F.coalesce((F.log("forms") - F.col("forms_log") / F.col("forms")) / F.log("m"), F.lit(0.0))
-    content = 1 - F.col("contents_log") / F.col("contents") / F.log("m")
-    weak = sums.filter("contents > 0").filter((1 - GAMMA) * form + GAMMA * content < least)
-    return store(weak.groupBy("host").agg(F.array_sort(F.collect_set("place")).alias("places")), "places")
+    content = F.least(F.coalesce(F.col("told") / F.col("m"), F.lit(0.0)), F.lit(1.0))
+    weak = sums.filter("shared > 0").filter((1 - GAMMA) * form + GAMMA * content < least).select("host", "place", "m")
+    texts = counts.filter("kind = 2").join(weak, ["host", "place"]).filter(told < least).select("host", F.col("place").bitwiseXOR(F.col("item")).alias("text"))
+    return store(texts.groupBy("host").agg(F.array_sort(F.collect_set("text")).alias("low")), "low")
 
 
 def _extract(batches: Iterator[pa.RecordBatch], page: int) -> Iterator[pa.RecordBatch]:
@@ -266,8 +288,8 @@ def _extract(batches: Iterator[pa.RecordBatch], page: int) -> Iterator[pa.Record
     for b in batches:
         n = b.num_columns
         texts = []
-        for p, places in zip(b.column(page), b.column(n - 1), strict=True):
-            now = places.as_py()
+        for p, texts_low in zip(b.column(page), b.column(n - 1), strict=True):
+            now = texts_low.as_py()
             if now != before:
                 before, low = now, frozenset(now or ())
             texts.append(main_text(p.as_py(), low))
@@ -277,11 +299,11 @@ def _extract(batches: Iterator[pa.RecordBatch], page: int) -> Iterator[pa.Record
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", page: str = "html") -> DataFrame:
     """The columns `keep` of pages and `_text`."""
-    weak = low_places(pages, url, page)
+    weak = low_texts(pages, url, page)
     rest = F.split_part(F.coalesce(F.col(url), F.lit("")), F.lit("://"), F.lit(2))
     name = F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^.*@", "")
     rows = pages.select(F.struct(*keep).alias("_keep"), F.col(page).alias("_page"), F.lower(F.split_part(name, F.lit(":"), F.lit(1))).alias("_host"))
-    joined = rows.join(weak, rows["_host"] == weak["host"], "left").select("_keep", "_page", "places")
+    joined = rows.join(weak, rows["_host"] == weak["host"], "left").select("_keep", "_page", "low")
     kinds = f"_keep {joined.schema['_keep'].dataType.simpleString()}, _text string"
     return joined.mapInArrow(lambda it: _extract(it, 1), kinds).select("_keep.*", "_text")
 

@@ -54,3 +54,36 @@ def test_sample_of_pages(spark, data):
         inner = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S).group(1)
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
         assert (r["text"], r["n_chars"]) == (want, len(want))
+
+
+def texts(spark, rows):
+    """By number, the texts of pages of one host."""
+    pages = spark.createDataFrame([(i, f"http://one.example/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    return {r["page_id"]: r["_text"] for r in S.extract(pages.repartition(3), ["page_id"]).collect()}
+
+
+def test_short_articles_among_fixed_texts_stay(spark):
+    """However many texts all pages share, those of one page stay: in an article, in blocks and in blocks that look like the fixed ones."""
+    own = lambda i: [f"Block {j} of text {i}" for j in range(5)]
+    for fixed in (20, 40, 200):
+        links = "".join(f"<li><a href=x>Link {j}</a></li>" for j in range(fixed))
+        same = "".join(f"<p>Fixed {j}</p>" for j in range(fixed))
+        blocks = lambda i: "".join(f"<p>{x}</p>" for x in own(i))
+        for page in (
+            lambda i: f"<html><body><ul>{links}</ul><article>{blocks(i)}</article></body></html>",
+            lambda i: f"<body><div class=x><ul>{links}</ul></div><div class=y>{blocks(i)}</div></body>",
+        ):
+            assert texts(spark, [(i, page(i)) for i in range(12)]) == {i: " ".join(own(i)) for i in range(12)}
+    flat = texts(spark, [(i, f"<body><div>{same}{blocks(i)}</div></body>") for i in range(12)])
+    assert all(flat[i].endswith(" ".join(own(i))) for i in range(12))
+
+
+def test_hosts_of_copies_keep_their_texts(spark):
+    page = lambda i: f"<body><div class=links><a>Start</a></div><article><h1>Head {i}</h1><p>First {i}</p><p>Second {i}</p></article></body>"
+    want = lambda i: f"Head {i} First {i} Second {i}"
+    assert set(texts(spark, [(i, page(0)) for i in range(40)]).values()) == {want(0)}
+    got = texts(spark, [(i, page(max(i, 39))) for i in range(44)])
+    assert all(got[i] == want(i) for i in range(40, 44))
+    assert all(want(39).endswith(got[i]) and got[i] for i in range(40))
+    plain = lambda i: f"<body><div><p>Same</p></div><p>Page {i}</p><article><p>All alike</p></article></body>"
+    assert texts(spark, [(i, plain(i)) for i in range(20)]) == {i: f"Page {i} All alike" for i in range(20)}
