@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -152,14 +152,14 @@ def walk(page: str, low: frozenset[int] = frozenset(), seen: Counter | None = No
     are counted in it.
     """
     stack = [Node("", 0, False, False, False, False)]
-    opened: Counter = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)
     out: list[tuple] = []
     found: set[tuple] = set()
     judged = bool(low) or seen is not None
 
     def close() -> None:
         n = stack.pop()
-        opened[n.tag] -= 1
+        opened[n.tag].pop()
         if seen is not None:
             found.add((n.place, 1, _hash(",".join(n.kinds))))
         if n.own:
@@ -182,11 +182,10 @@ def walk(page: str, low: frozenset[int] = frozenset(), seen: Counter | None = No
             if name in CLOSES_P and opened["p"]:
                 while stack[-1].tag in INLINE or stack[-1].tag == "p":
                     close()
-                    if opened["p"] == 0:
+                    if not opened["p"]:
                         break
             elif name in CLOSES:
-                stop = SCOPE.get(name, ())
-                reach = next((i for i in range(len(stack) - 1, max(0, len(stack) - 64), -1) if stack[i].tag in stop or stack[i].tag in CLOSES[name]), 0)
+                reach = max((opened[t][-1] for t in (*SCOPE.get(name, ()), *CLOSES[name]) if opened[t]), default=0)
                 if reach and stack[reach].tag in CLOSES[name]:
                     while len(stack) > reach or (stack[-1].tag in CLOSES[name]):
                         close()
@@ -202,9 +201,9 @@ def walk(page: str, low: frozenset[int] = frozenset(), seen: Counter | None = No
             if header and (top.article or top.main):
                 node.header = top.header
             if not rest.endswith("/") or name not in ("svg", "path"):
+                opened[name].append(len(stack))
                 stack.append(node)
-                opened[name] += 1
-        elif opened[name] > 0:
+        elif opened.get(name):
             while stack[-1].tag != name:
                 close()
             close()

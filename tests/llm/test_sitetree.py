@@ -87,3 +87,20 @@ def test_hosts_of_copies_keep_their_texts(spark):
     assert all(want(39).endswith(got[i]) and got[i] for i in range(40))
     plain = lambda i: f"<body><div><p>Same</p></div><p>Page {i}</p><article><p>All alike</p></article></body>"
     assert texts(spark, [(i, plain(i)) for i in range(20)]) == {i: f"Page {i} All alike" for i in range(20)}
+
+
+def test_items_close_at_any_depth():
+    """An item's end is implied however many elements are open in it; its names don't reach the next item."""
+    for depth in (10, 63, 64, 65, 500):
+        open_tags = "<div>" * depth
+        assert S.main_text(f"<ul><li class=ad>{open_tags}no<li>yes</ul>") == "yes"
+        assert S.main_text(f"<table><tr class=menu><td>{open_tags}no<tr><td>yes</table>") == "yes"
+        assert S.main_text(f"<ul><li>{open_tags}a<ul><li class=ad>no<li>b</ul></ul>") == "a b"
+    assert S.main_text("<ul>" + "<li><div>x" * 20_000).count("x") == 20_000
+
+
+def test_deep_articles_stay(spark):
+    """Texts of one page count wherever they are, and fixed ones go from any depth."""
+    for depth in (10, 30, 300):
+        page = lambda i: f"<body><div class=w><p>Fixed</p>{'<div><font>' * depth}<p>Own {i}</p><i>Same</i>"
+        assert texts(spark, [(i, page(i)) for i in range(12)]) == {i: f"Own {i}" for i in range(12)}
