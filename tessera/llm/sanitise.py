@@ -4,16 +4,17 @@ Entities are what the patterns find: mail and IP addresses, card and phone numbe
 without separators. Terms are words of letters and digits. Over the whole corpus it counts in how many documents an
 entity occurs, a term occurs, and both occur within WINDOW words. A term discloses an entity to the degree
 PMI(entity; term) / IC(entity): 1 if the term never occurs without the entity, 0 if it tells nothing. Terms of at
-least DISCLOSURE for some entity, seen with it in at least MIN_CONTEXTS different contexts, are generalised wherever
-they occur, and removed from REMOVAL up. In a passage that is copied, with edits or without, all words go with the
-entity alike and none gives it away: a term doesn't count if more than MAX_COMPANIONS other words are in more than half
-of the contexts that it shares with the entity.
+least DISCLOSURE for some entity, seen with it in at least MIN_CONTEXTS different documents, are generalised wherever
+they occur, and removed from REMOVAL up. In documents that are copies, with edits or without, all words go with the
+entity alike and none gives it away. So documents are told apart by sketches, SKETCH least hashes of their runs of
+three words: by most of these there must be MIN_CONTEXTS different ones, and one to COPIES documents. A block of fixed
+words by an entity (as in signatures) hides none of its words if the rest of the documents differ.
 
 Terms reach the passes over the texts as a filter of fixed size; what it lets through is joined exactly. Entities and
 terms are told apart by 64-bit hashes.
 
-Edge cases: a null or empty text has no spans; rows that repeat count as documents of their own but share their
-contexts; where no document has an entity there are no terms; an empty table gives an empty result.
+Edge cases: a null or empty text has no spans; rows that repeat count as documents of their own but share
+their sketch; where no document has an entity there are no terms; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 8
 """Words on each side of an entity that co-occur with it."""
 MIN_CONTEXTS = 3
-MAX_COMPANIONS = 5
+SKETCH = 5
+COPIES = 3
+"""Documents to a different sketch, above which most of them are taken for copies."""
 DISCLOSURE = 0.75
 REMOVAL = 0.95
 MIN_TERM = 3
@@ -154,13 +157,36 @@ def _near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, l
         yield entity(text, span), left[-WINDOW:] + right
 
 
+def sketch(words: list[str], known: dict[str, int]) -> tuple[int, ...]:
+    """For each of SKETCH hash functions, the least hash of a text's runs of three words; of fewer words, of all of them."""
+    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    runs = ids[:-2] * odd[0] + ids[1:-1] * odd[1] + ids[2:] * odd[2] if len(ids) > 2 else np.array([_hash(" ".join(words)) & ((1 << 64) - 1)], np.uint64)
+    out = []
+    for i in range(SKETCH):
+        x = (runs ^ (runs >> np.uint64(29))) + np.uint64(0x632BE59BD9B4E019 * (i + 1) & ((1 << 64) - 1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(int((x ^ (x >> np.uint64(31))).min().astype(np.int64)))
+    return tuple(out)
+
+
+class _Hashes(dict):
+    """Of a word, its hash without sign."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = _hash(word) & ((1 << 64) - 1)
+        return h
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, context, docs): documents by entity (term and context null), and by entity, term and context."""
-    found: Counter = Counter()
+    """(entity, term, s0, s1, ..., docs): documents by entity (the others null), and by entity, term and sketch."""
+    found, known = Counter(), _Hashes()
+    names = ["entity", "term", *(f"s{i}" for i in range(SKETCH)), "docs"]
 
     def rows() -> pa.RecordBatch:
         keys = list(found)
-        out = pa.record_batch([pa.array([k[i] for k in keys], pa.int64()) for i in range(3)] + [pa.array([found[k] for k in keys], pa.int64())], names=["entity", "term", "context", "docs"])
+        out = pa.record_batch([pa.array([k[i] for k in keys], pa.int64()) for i in range(2 + SKETCH)] + [pa.array([found[k] for k in keys], pa.int64())], names=names)
         found.clear()
         return out
 
@@ -170,11 +196,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             if not spans:
                 continue
-            mine = set()
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            mine, drawn, none = set(), sketch(_word.findall(text.lower()), known), (None,) * SKETCH
             for e, words in _near(text, spans):
-                context = _hash(" ".join(words))
-                mine.add((e, None, None))
-                mine.update((e, _hash(w), context) for w in words if len(w) >= MIN_TERM)
+                mine.add((e, None, *none))
+                mine.update((e, _hash(w), *drawn) for w in words if len(w) >= MIN_TERM)
             found.update(mine)
         if len(found) > FLUSH:
             yield rows()
@@ -222,11 +249,12 @@ def disclosures(docs: DataFrame, text: str = "text", threshold: float = DISCLOSU
     small_batches(docs.sparkSession)
     texts = docs.select(text)
     n = texts.count()
-    seen = texts.mapInArrow(_pairs, "entity long, term long, context long, docs long")
-    seen = store(seen.groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs")), "cooccurrence")
+    drawn = [f"s{i}" for i in range(SKETCH)]
+    seen = texts.mapInArrow(_pairs, f"entity long, term long, {', '.join(f'{s} long' for s in drawn)}, docs long")
+    seen = store(seen.groupBy("entity", "term", *drawn).agg(F.sum("docs").alias("docs")), "cooccurrence")
     entities = seen.filter("term is null").select("entity", F.col("docs").alias("entity_docs"))
-    joint = seen.filter("term is not null").groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.count("*").alias("contexts"))
-    joint = store(joint.filter(F.col("contexts") >= min_contexts).join(entities, "entity"), "joint")
+    joint = seen.filter("term is not null").groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.sort_array(F.array(*[F.count_distinct(s) for s in drawn]))[SKETCH // 2].alias("contexts"))
+    joint = store(joint.filter((F.col("contexts") >= min_contexts) & (COPIES * F.col("contexts") >= F.col("both"))).join(entities, "entity"), "joint")
     bits = term_filter(joint.select("term"))
     if bits is None:
         return joint.select("term", F.lit(0.0).alias("disclosure"))
@@ -235,11 +263,7 @@ def disclosures(docs: DataFrame, text: str = "text", threshold: float = DISCLOSU
     both = F.least("both", "entity_docs", "term_docs")
     pmi = F.log(both * n / (F.col("entity_docs") * F.col("term_docs")))
     degree = F.coalesce(F.try_divide(pmi, F.log(n / F.col("entity_docs"))), F.lit(0.0))
-    telling = store(joint.join(frequency, "term").select("entity", "term", "contexts", degree.alias("degree")).filter(F.col("degree") >= threshold), "telling")
-    here = seen.filter("term is not null").select("entity", "context", "term")
-    beside = here.join(telling, ["entity", "term"]).select("entity", "context", "term", "contexts").join(here.withColumnRenamed("term", "other"), ["entity", "context"]).filter("term <> other")
-    fixed = beside.groupBy("entity", "term", "contexts", "other").agg(F.count("*").alias("n")).filter("2 * n > contexts").groupBy("entity", "term").agg(F.count("*").alias("companions"))
-    telling = telling.join(fixed, ["entity", "term"], "left").filter(F.coalesce("companions", F.lit(0)) <= MAX_COMPANIONS)
+    telling = joint.join(frequency, "term").select("term", degree.alias("degree")).filter(F.col("degree") >= threshold)
     return store(telling.groupBy("term").agg(F.max("degree").alias("disclosure")), "disclosures")
 
 

@@ -62,5 +62,16 @@ def test_terms(spark):
     assert clean[1005] == got[1005]["text"] and clean[5000] is None and clean[5001] == ""
 
 
+def test_names_in_contact_blocks(spark):
+    """Words of a fixed block by an address give it away in documents that differ, at a text's end too, not in near copies."""
+    block = "Janeth Millerov Senior Accountant Manager Acmeon Corporation Ltdx janeth@mail.example.org"
+    rows = [(i, f"{prose(60, i)} {block}") for i in range(12)] + [(50, f"{prose(40, 50)} Millerov {prose(20, 51)}")]
+    copied = f"{prose(60, 77)} Quixley Brandom Deputy Registrar Townhall Bureau Office Desk quixley@mail.example.net"
+    rows += [(100 + i, f"{copied} e{i}") for i in range(12)] + [(1000 + i, prose(60, 2000 + i)) for i in range(200)]
+    found = {r["doc_id"]: {r["text"][t["start"] : t["end"]] for t in r["terms"]} for r in S.find(documents(spark, rows), ["doc_id"], with_text=True).collect()}
+    assert all({"Janeth", "Millerov", "Acmeon", "Corporation"} <= found[i] for i in range(12)) and found[50] == {"Millerov"}
+    assert not any(v for d, v in found.items() if d >= 100)
+
+
 def test_cleaned():
     assert S.cleaned("call a@b.c or Bob or Al", [(5, 0, 10)], [(14, 4, 17, 0.8), (21, 4, 23, 0.99)]) == "call [email] or [term] or "
