@@ -15,12 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 """A word: a run of characters other than space, tab, LF, VT, FF and CR."""
 
 MAX_BATCH_ROWS = 1000
+"""Rows handled at once; Spark bounds the bytes of what it sends (spark.sql.execution.arrow.maxBytesPerBatch)."""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset it must be a local session, which gets a fresh one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -36,22 +39,25 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_in = path.rpartition("/")[0]
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > MAX_BATCH_ROWS:
-        spark.conf.set(key, str(MAX_BATCH_ROWS))
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables, once everything made of them is stored itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_in)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tidy(batches):
-    """Arrow batches; what Arrow has freed goes back to the system after each."""
+    """Arrow batches cut to MAX_BATCH_ROWS rows; what Arrow has freed goes back to the system after each."""
     import pyarrow as pa
 
     for b in batches:
-        yield b
+        for at in range(0, b.num_rows, MAX_BATCH_ROWS):
+            yield b.slice(at, MAX_BATCH_ROWS)
         del b
         pa.default_memory_pool().release_unused()
 

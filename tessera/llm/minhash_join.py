@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import documents, small_batches, store, tidy
+from tessera.llm.common import documents, store, tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -277,7 +277,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     at least the threshold, copies included. n_copies: the rows with the same words, itself included.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     kind = docs.schema[doc_id].dataType
     keys_schema = T.StructType([T.StructField("doc_id", kind), T.StructField("node", T.LongType()), T.StructField("grams", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
     n_bands = bands(threshold, recall, rows)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import documents, small_batches, store, tidy
+from tessera.llm.common import documents, store, tidy
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -87,7 +87,6 @@ def _count(batches: Iterator[pa.RecordBatch], text: int, with_text: bool) -> Ite
 
 def count_features(docs: DataFrame, keep: list[str], text: str = "text", with_text: bool = False) -> DataFrame:
     """The columns `keep` of docs, with its text if asked for, and COUNTS of its text."""
-    small_batches(docs.sparkSession)
     docs = docs.select(*keep, text)
     fields = T.StructType([f for f in docs.schema.fields if with_text or f is not docs.schema.fields[-1]] + [T.StructField(c, T.LongType()) for c in COUNTS])
     return docs.mapInArrow(lambda it: _count(it, len(keep), with_text), fields)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, store
+from tessera.llm.common import store, tidy
 
 GAMMA = 0.9
 LEAST = 0.2
@@ -247,7 +247,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], names=["host", "place", "kind", "item", "pages"])
 
     held = 0
-    for b in batches:
+    for b in tidy(batches):
         for url, page in zip(b.column(0), b.column(1), strict=True):
             walk(page.as_py() or "", seen=(c := seen.setdefault(host(url.as_py()), Counter())))
         held = sum(map(len, seen.values()))
@@ -263,7 +263,6 @@ def low_texts(pages: DataFrame, url: str = "url", page: str = "html", least: flo
     A page of c contents has at most c that are shared, each by over m ** (1 - least) of m pages, so a host has at most
     c * m ** least of them.
     """
-    small_batches(pages.sparkSession)
     counts = pages.select(url, page).mapInArrow(_merge, "host string, place long, kind long, item long, pages long")
     counts = store(counts.groupBy("host", "place", "kind", "item").agg(F.sum("pages").alias("pages")), "counts")
     sizes = counts.filter(F.col("kind") == 0).filter(F.col("pages") >= max(2, min_pages)).select("host", "place", F.col("pages").alias("m"))
@@ -284,7 +283,7 @@ def low_texts(pages: DataFrame, url: str = "url", page: str = "html", least: flo
 
 def _extract(batches: Iterator[pa.RecordBatch], page: int) -> Iterator[pa.RecordBatch]:
     before, low = None, frozenset()
-    for b in batches:
+    for b in tidy(batches):
         n = b.num_columns
         texts = []
         for p, texts_low in zip(b.column(page), b.column(n - 1), strict=True):

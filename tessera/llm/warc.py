@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, sample_bounds, small_batches, store, tree_index
+from tessera.llm.common import new_path, sample_bounds, store, tidy, tree_index
 
 SHARD_BYTES = 64 << 20
 """Payload bytes a shard aims at."""
@@ -114,7 +114,7 @@ class Roller:
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int) -> Iterator[pa.RecordBatch]:
     files, roller, ordinal, before = [], Roller(folder, roll_bytes), 0, None
-    for b in batches:
+    for b in tidy(batches):
         for shard, page, url, payload, digest, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
             same = before == (page, digest)
             ordinal = ordinal + 1 if same else 0
@@ -130,7 +130,6 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int) -> I
 def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = 0) -> DataFrame:
     """Write pages into `folder`, which all executors share; returns the manifest."""
     spark = pages.sparkSession
-    small_batches(spark)
     raw = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), raw.alias("payload")).withColumn("digest", F.sha1("payload"))
     groups = rows.filter(F.length("payload") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
