@@ -6,7 +6,8 @@ bundles the vectors of all its trigrams. A language's prototype is the sum of it
 prediction is the prototype with the largest cosine.
 
 Letters are what Unicode calls alphabetic, in lower case. Everything else is white space to this operator. Texts are
-read whole, in pieces of bounded size. Training sums are whole numbers, so reruns agree to the bit.
+read whole; long ones in pieces that share two letters, which gives the same vector to the bit. Training sums are whole
+numbers, so reruns agree to the bit.
 
 Edge cases: `und` and score 0 for a null text, a text without letters, or where there is nothing to learn from; rows
 with a null text or language teach nothing; ties go to the first language by code point; repeated rows count as often
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import documents, small_batches, store
+from tessera.llm.common import documents, store, tidy
 
 DIMENSIONS = 512
 SEED = 20240229
@@ -60,17 +61,24 @@ def _letters(found: np.ndarray, dimensions: int) -> np.ndarray:
     return np.stack([_vectors[p] for p in found.tolist()])
 
 
-def _bundle(texts: list[str], dimensions: int) -> np.ndarray:
-    """The bundled trigram vectors of some texts (or pieces of texts), one row each; all zero without letters."""
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    joined = np.concatenate([x for p in points for x in (np.array([BLANK], np.uint32), p, np.array([BLANK], np.uint32))])
-    owner = np.repeat(np.arange(len(texts)), [len(p) + 2 for p in points])
-    kinds = _classes(joined)
-    blank = kinds == BLANK
-    keep = np.ones(len(kinds), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1] & (owner[1:] == owner[:-1]))
-    kinds, owner = kinds[keep], owner[keep]
-    out = np.zeros((len(texts), dimensions), np.float32)
+def _spelt(text: str) -> Iterator[np.ndarray]:
+    """A text's letters, with one blank between, before and after words, in pieces; each begins with the last two of the one before."""
+    tail = np.array([BLANK], np.int32)
+    for at in range(0, max(1, len(text)), PIECE_CHARS):
+        points = np.frombuffer(text[at : at + PIECE_CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = [np.array([BLANK], np.int32)] if at + PIECE_CHARS >= len(text) else []
+        kinds = np.concatenate([tail, _classes(points), *end])
+        blank = kinds == BLANK
+        kinds = kinds[np.r_[True, ~(blank[1:] & blank[:-1])]]
+        yield kinds
+        tail = kinds[-2:]
+
+
+def _bundle(pieces: list[np.ndarray], dimensions: int) -> np.ndarray:
+    """The bundled trigram vectors of pieces, one row each; all zero without letters."""
+    kinds = np.concatenate(pieces)
+    owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+    out = np.zeros((len(pieces), dimensions), np.float32)
     if len(kinds) < 3:
         return out
     present = np.flatnonzero(np.bincount(kinds))
@@ -92,14 +100,14 @@ def _bundle(texts: list[str], dimensions: int) -> np.ndarray:
         part = grams[low : low + 8192]
         bound = (first[part // (n * n)] * second[part // n % n] * letters[part % n]).astype(np.float32)
         mine = (place >= low) & (place < low + 8192) if len(grams) > 8192 else slice(None)
-        counts = np.bincount(who[mine] * len(part) + place[mine] - low, minlength=len(texts) * len(part))
-        out += counts.reshape(len(texts), len(part)).astype(np.float32) @ bound
+        counts = np.bincount(who[mine] * len(part) + place[mine] - low, minlength=len(pieces) * len(part))
+        out += counts.reshape(len(pieces), len(part)).astype(np.float32) @ bound
     return out
 
 
 def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> Iterator[np.ndarray]:
     """The unit vectors of texts, in groups; all zero for a text without letters."""
-    group: list[str] = []
+    group: list[np.ndarray] = []
     chars = 0
 
     def unit(v: np.ndarray) -> np.ndarray:
@@ -112,12 +120,13 @@ def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS) -> Itera
             if group:
                 yield unit(_bundle(group, dimensions))
                 group, chars = [], 0
+            # Sums of a piece are whole and below 2 ** 24, so exact; so is their total.
             total = np.zeros((1, dimensions))
-            for at in range(0, len(t), PIECE_CHARS):
-                total += _bundle([t[at : at + PIECE_CHARS]], dimensions)
+            for piece in _spelt(t):
+                total += _bundle([piece], dimensions)
             yield unit(total)
             continue
-        group.append(t)
+        group += _spelt(t)
         chars += len(t)
         if chars >= GROUP_CHARS or len(group) >= 512:
             yield unit(_bundle(group, dimensions))
@@ -132,7 +141,7 @@ def _all_vectors(texts: list[str | None], dimensions: int) -> np.ndarray:
 
 def _learn(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in tidy(batches):
         langs, vectors = b.column(0).to_pylist(), _all_vectors(b.column(1).to_pylist(), dimensions)
         whole = np.rint(vectors * UNIT).astype(np.int64)
         for lang in set(langs):
@@ -147,7 +156,6 @@ def prototypes(training: DataFrame, dimensions: int = DIMENSIONS, lang: str = "l
 
     Each task sums what it reads; sums meet by (language, dimension), so a language that holds most rows isn't slower.
     """
-    small_batches(training.sparkSession)
     rows = training.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     partial = rows.mapInArrow(lambda it: _learn(it, dimensions), "lang string, vector array<long>")
     summed = partial.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
@@ -155,7 +163,7 @@ def prototypes(training: DataFrame, dimensions: int = DIMENSIONS, lang: str = "l
 
 
 def _predict(batches: Iterator[pa.RecordBatch], names: list[str], matrix: np.ndarray, text: int, first: bool, keep_text: bool, dimensions: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in tidy(batches):
         old = b.schema.names
         vectors = _all_vectors(b.column(text).to_pylist(), dimensions)
         cosine = np.round(vectors @ matrix.T, 12)
@@ -179,7 +187,6 @@ def predict(docs: DataFrame, learned: DataFrame, dimensions: int = DIMENSIONS, t
     the better of its own and the earlier passes' languages.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("lang_pred", "score")
     learned = store(learned, "prototypes")
     n, last = learned.count(), None

@@ -24,7 +24,24 @@ def test_passes_and_undetermined(spark, monkeypatch):
 
 
 def test_pieces_add_up(monkeypatch):
-    text = "ein langer text über viele dinge " * 50
-    whole = L._all_vectors([text], 64)
-    monkeypatch.setattr(L, "PIECE_CHARS", 100)
-    assert (whole @ L._all_vectors([text], 64).T)[0, 0] > 0.99
+    """Whole or in pieces of any size, cut within words or blanks, a text has the same vector to the bit."""
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdé 1,  \n") for _ in range(700)), "ein langer text über viele dinge " * 50, " " * 450 + "x" + " " * 450, "1" * 333, "ab"]
+    whole = L._all_vectors(texts, 64)
+    for size in (1, 2, 3, 100, 699, 700, 701):
+        monkeypatch.setattr(L, "PIECE_CHARS", size)
+        assert (whole == L._all_vectors(texts, 64)).all()
+
+
+def test_naive_vectors():
+    """A text's vector from the definition, trigram by trigram."""
+    import numpy as np
+
+    text = "Ça, le Été: 42 x"
+    spelt = " ça le été x "
+    letter = {c: L._letters(np.array([ord(c)]), 64)[0].astype(int) for c in set(spelt)}
+    want = sum(np.roll(letter[a], 2) * np.roll(letter[b], 1) * letter[c] for a, b, c in zip(spelt, spelt[1:], spelt[2:]))
+    got = L._all_vectors([text], 64)[0]
+    assert np.allclose(got, want / np.sqrt((want**2).sum()))
