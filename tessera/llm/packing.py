@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, small_batches, tidy
+from tessera.llm.common import documents, tidy
 
 WINDOW = 1024
 END_ID = 0
@@ -35,13 +35,13 @@ class Encoder:
     """Ids of texts under a tokenizers file, as little-endian unsigned 32-bit bytes.
 
     Where the file holds a byte-level BPE with the usual pattern whose ids follow its merges, a text is encoded by
-    tiktoken with the same vocabulary, which gives the same ids several times faster. Texts with special tokens, or
-    with characters that count as white space for some libraries only, and all texts under other kinds of files, are
-    left to tokenizers.
+    tiktoken with the same vocabulary, which gives the same ids several times faster. Texts with special tokens, with
+    characters that count as white space for some libraries only, or with long runs of white space (on which
+    tiktoken's pattern runs out of stack), and all texts under other kinds of files, are left to tokenizers.
     """
 
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    ODD = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\xA0\u1680\u180E\u2000-\u206F\u3000\uFEFF]"
+    ODD = r"\s{500}|[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\xA0\u1680\u180E\u2000-\u206F\u3000\uFEFF]"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -204,7 +204,6 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int,
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
     """One row for each piece of a document: where its ids start and how many they are, and where they stand."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lambda it: _pack(it, tokenizer_path, size, end_id, block_ids), SCHEMA)
 
 

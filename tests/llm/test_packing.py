@@ -64,3 +64,10 @@ def test_encoder_equals_tokenizers():
     for _ in range(3000):
         text = "".join(r.choice(pool) for _ in range(r.randint(0, 14)))
         assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs():
+    """Texts of one kind of character, however long, get tokenizers' ids."""
+    e, t = P.Encoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("a" + " " * 499 + "b", "a" + " " * 500 + "b", "a" + " " * 2_000_000, " " * 2_000_000 + "b", "\n" * 2_000_000, "\t \n" * 500_000, "x" * 2_000_000, "7" * 2_000_000):
+        assert e.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
