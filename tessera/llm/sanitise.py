@@ -1,7 +1,9 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms that give it away.
 
 Entities are what the patterns find: mail and IP addresses, card and phone numbers, told apart by their characters
-without separators. Terms are words of letters and digits. Over the whole corpus it counts in how many documents an
+without separators, and their classes: a mail address's domain, an IP address's first two parts, a card's issuer, a
+phone number's country and area. So a term can give away whose address it is though each address is seen once. Terms
+are words of letters and digits. Over the whole corpus it counts in how many documents an
 entity occurs, a term occurs, and both occur within WINDOW words. A term discloses an entity to the degree
 PMI(entity; term) / IC(entity): 1 if the term never occurs without the entity, 0 if it tells nothing. Terms of at
 least DISCLOSURE for some entity, seen with it in at least MIN_CONTEXTS different documents, are generalised wherever
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import documents, small_batches, store, tidy
+from tessera.llm.common import documents, store, tidy
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 8
@@ -43,6 +45,9 @@ DISCLOSURE = 0.75
 REMOVAL = 0.95
 MIN_TERM = 3
 """Characters of the shortest term."""
+ISSUER_DIGITS = 6
+AREA_DIGITS = 4
+"""Digits of a card number, and of a phone number, that name its class."""
 FILTER_BITS = 24
 KNOWN_WORDS = 200_000
 FLUSH = 500_000
@@ -122,10 +127,19 @@ def _hash(data: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def entity(text: str, span: tuple[int, int, int]) -> int:
+def entities(text: str, span: tuple[int, int, int]) -> tuple[int, int]:
+    """The hashes of a span's entity and of its class."""
     start, kind, end = span
-    value = text[start:end].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[start:end])
-    return _hash(f"{KINDS[kind]}:{value}")
+    if kind == 0:
+        value = text[start:end].lower()
+        wide = value.rpartition("@")[2]
+    elif kind == 1:
+        value = text[start:end]
+        wide = ".".join(value.split(".")[:2])
+    else:
+        value = re.sub(r"[^0-9]", "", text[start:end])
+        wide = value[: ISSUER_DIGITS if kind == 2 else AREA_DIGITS]
+    return _hash(f"{KINDS[kind]}:{value}"), _hash(f"{KINDS[kind]} class:{wide}")
 
 
 def terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
@@ -140,21 +154,21 @@ def terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, i
             yield s, e, m.group().lower()
 
 
-def _near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, list[str]]]:
-    """(entity, words around it) of each span; reads no further than the words."""
+def _near(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[tuple[int, int], list[str]]]:
+    """(its entities, words around it) of each span; reads no further than the words, however far they are."""
     for span in spans:
         left, right, size = [], [], 64
         while len(left) < WINDOW:
             low = max(0, span[0] - size)
             left = [m.group().lower() for m in _word.finditer(text, low, span[0]) if m.start() > low or not low]
-            if not low or size > 1 << 14:
+            if not low:
                 break
             size *= 2
-        for m in _word.finditer(text, span[2], span[2] + (1 << 14)):
+        for m in _word.finditer(text, span[2]):
             right.append(m.group().lower())
             if len(right) == WINDOW:
                 break
-        yield entity(text, span), left[-WINDOW:] + right
+        yield entities(text, span), left[-WINDOW:] + right
 
 
 def sketch(words: list[str], known: dict[str, int]) -> tuple[int, ...]:
@@ -199,9 +213,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(known) > KNOWN_WORDS:
                 known.clear()
             mine, drawn, none = set(), sketch(_word.findall(text.lower()), known), (None,) * SKETCH
-            for e, words in _near(text, spans):
-                mine.add((e, None, *none))
-                mine.update((e, _hash(w), *drawn) for w in words if len(w) >= MIN_TERM)
+            for two, words in _near(text, spans):
+                around = [_hash(w) for w in words if len(w) >= MIN_TERM]
+                for e in two:
+                    mine.add((e, None, *none))
+                    mine.update((e, w, *drawn) for w in around)
             found.update(mine)
         if len(found) > FLUSH:
             yield rows()
@@ -246,7 +262,6 @@ def _frequencies(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterato
 
 def disclosures(docs: DataFrame, text: str = "text", threshold: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(term, disclosure): the terms at or above the threshold for some entity, by hash, with their highest degree."""
-    small_batches(docs.sparkSession)
     texts = docs.select(text)
     n = texts.count()
     drawn = [f"s{i}" for i in range(SKETCH)]

@@ -75,3 +75,48 @@ def test_names_in_contact_blocks(spark):
 
 def test_cleaned():
     assert S.cleaned("call a@b.c or Bob or Al", [(5, 0, 10)], [(14, 4, 17, 0.8), (21, 4, 23, 0.99)]) == "call [email] or [term] or "
+
+
+def test_words_are_found_at_any_distance():
+    """Words around an entity count however many other characters are between."""
+    for gap in (10, 1 << 14, (1 << 14) + 1, 200_000):
+        text = f"left{' .' * gap} a@b.example{'- ' * gap}right"
+        (_, words), *_ = S._near(text, S.base_spans(text))
+        assert words == ["left", "right"]
+    long = "x" * 300_000
+    text = f"one {long} a@b.example {long} two"
+    assert [w for _, w in S._near(text, S.base_spans(text))] == [["one", long, long, "two"]]
+
+
+def test_terms_of_classes(spark):
+    """A firm's name by different addresses of one domain gives the domain away, though each address is seen once."""
+    rows = [(i, f"{prose(30, i)} Quorvex person{i}@quorvex.example.org {prose(30, 500 + i)}") for i in range(10)]
+    rows += [(50, f"{prose(20, 50)} Quorvex {prose(20, 51)}")] + [(1000 + i, prose(60, 2000 + i)) for i in range(200)]
+    docs = documents(spark, rows)
+    found = {r["doc_id"]: {r["text"][t["start"] : t["end"]] for t in r["terms"]} for r in S.find(docs, ["doc_id"], with_text=True).collect()}
+    assert all(found[i] == {"Quorvex"} for i in (*range(10), 50)) and not any(found[1000 + i] for i in range(200))
+
+
+def test_disclosures_by_definition(spark):
+    """Degrees against a plain count over documents."""
+    import math
+
+    texts = [f"{prose(12, i)} Zorb{i % 3} a{i % 2}@m{i % 4}.example.org {prose(9, 300 + i)}" for i in range(40)] + [prose(30, 600 + i) + " zorb1" * (i < 3) for i in range(60)]
+    near, holds, entity = {}, {}, {}
+    for d, t in enumerate(texts):
+        for w in set(re.findall(r"[^\W_]+", t.lower())):
+            holds.setdefault(S._hash(w), set()).add(d)
+        for two, words in S._near(t, S.base_spans(t)):
+            for e in two:
+                entity.setdefault(e, set()).add(d)
+                for w in words:
+                    if len(w) >= S.MIN_TERM:
+                        near.setdefault((e, S._hash(w)), set()).add(d)
+    n, want = len(texts), {}
+    for (e, w), both in near.items():
+        if len(both) >= 3:
+            degree = math.log(len(both) * n / (len(entity[e]) * len(holds[w]))) / math.log(n / len(entity[e]))
+            if degree >= 0.5:
+                want[w] = max(want.get(w, 0), degree)
+    got = {r["term"]: r["disclosure"] for r in S.disclosures(documents(spark, list(enumerate(texts))), threshold=0.5).collect()}
+    assert got.keys() == want.keys() and want and all(abs(got[w] - want[w]) < 1e-9 for w in want)
