@@ -1,10 +1,15 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Per text, Python counts a few things (feature_rows); the rates made of them, in thousandths, go into mergeable quantile
-sketches: histograms with 32 log-spaced bins an octave, counted by (language, source, rate, bin). Sketches add up, so
-a small group borrows the sketch of its language, and a small language that of the corpus. A rate beyond
-q75 + FENCE * (q75 - q25) of its group (for word length also below q25 - FENCE * ...), and beyond a floor that no
-clean text should reach, rejects the text. Fixed rules (base_failed) reject as well.
+Per text, Python counts a few things (count_features); the rates made of them, in thousandths, go into mergeable
+quantile sketches: histograms with 128 log-spaced bins an octave, counted by (language, source, rate, bin). Sketches
+add up: those of a language are its groups' sum, the corpus's is the sum of all.
+
+No threshold is fixed. A rate may lie FENCE spreads above its group's median (word length also below it). Medians of
+few texts lean on the language's, as if PRIOR texts of it were added, and the language's on the corpus's. A spread is
+the distance from the median to the quartile, the least of the group's, its language's and the corpus's, so that a
+group of which a large part is junk doesn't widen its own fence; nor is it less than what GRAIN counts make in a short
+text (the lower quartile of words, lines or letters), as most rates are 0 in most texts. Fixed rules (base_failed)
+reject as well.
 
 Edge cases: a null or empty text has no words and fails the base rules; null languages and sources are groups of
 their own; rows that repeat count as often as they occur; an empty table gives an empty result.
@@ -21,17 +26,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import documents, store, tidy
+from tessera.llm.common import discard, documents, store, tidy
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-FENCE = 6
-MIN_GROUP = 200
-"""Texts below which a group's sketch is replaced by that of its language, or of the corpus."""
-FLOORS = {"symbols": (None, 150), "dup_lines": (None, 500), "repeats": (None, 350), "upper": (None, 400), "word_length": (2500, 9000)}
-"""For each rate, in thousandths: the least lower and the greatest upper threshold that can't be adapted past."""
+FENCE = 12
+"""Spreads from a group's median to its threshold."""
+PRIOR = 50
+"""Texts of its language that are added to a group's, and of the corpus to a language's."""
+RATES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "n_letters"), "word_length": ("word_chars", "n_words")}
+GRAIN = {"symbols": 1, "dup_lines": 1, "repeats": 6, "upper": 4, "word_length": 10}
+"""For each rate, the counts that one occurrence makes."""
+LOWER = ("word_length",)
+"""Rates with a lower threshold too."""
+SIZES = ("n_words", "n_lines", "n_letters")
+EXACT = 256
+"""Numbers below have bins of their own; above, as many bins an octave as half of it."""
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 UPPER = bytes(range(65, 91))
@@ -98,57 +110,68 @@ def base_failed() -> Column:
 
 def rates() -> dict[str, Column]:
     """The rates in thousandths, as whole numbers; 0 where they aren't defined."""
-    of = lambda a, b: F.coalesce(F.expr(f"try_divide(1000 * {a}, {b})"), F.lit(0.0)).cast("long")
-    return {"symbols": of("n_symbols", "n_words"), "dup_lines": of("n_dup_lines", "n_lines"), "repeats": of("n_repeat_words", "n_words"), "upper": of("n_upper", "n_letters"), "word_length": of("word_chars", "n_words")}
+    return {k: F.coalesce(F.expr(f"try_divide(1000 * {a}, {b})"), F.lit(0.0)).cast("long") for k, (a, b) in RATES.items()}
 
 
 def bin_of(v: Column) -> Column:
-    """The sketch's bin of a whole number >= 0: itself below 64, then 32 bins an octave."""
+    """The sketch's bin of a whole number >= 0: itself below EXACT, then EXACT / 2 bins an octave."""
+    half, low = EXACT // 2, EXACT.bit_length() - 1
     octave = F.floor(F.log2(F.greatest(v, F.lit(1)).cast("double"))).cast("int")
-    return F.when(v < 64, v).otherwise(32 * (octave - 4) + F.floor(v / F.pow(F.lit(2.0), octave - 5)).cast("long") - 32).cast("long")
+    return F.when(v < EXACT, v).otherwise(half * (octave - low + 1) + F.floor(v / F.pow(F.lit(2.0), octave - low + 1)).cast("long")).cast("long")
 
 
 def value_of(b: Column) -> Column:
     """The least number in a bin."""
-    octave = F.floor((b - 64) / 32) + 6
-    return F.when(b < 64, b).otherwise((F.pmod(b - 64, F.lit(32)) + 32) * F.pow(F.lit(2.0), octave - 5)).cast("long")
+    half = EXACT // 2
+    shift = F.floor((b - EXACT) / half) + 1
+    return F.when(b < EXACT, b).otherwise((F.pmod(b - EXACT, F.lit(half)) + half) * F.pow(F.lit(2.0), shift)).cast("long")
 
 
 def sketch(features: DataFrame) -> DataFrame:
     """(lang, source, rate, bin, n) of the texts that pass the base rules. Sketches merge by adding n."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("rate"), bin_of(v).alias("bin")) for k, v in rates().items()])
+    pairs = F.array(*[F.struct(F.lit(k).alias("rate"), bin_of(v).alias("bin")) for k, v in (rates() | {k: F.col(k) for k in SIZES}).items()])
     rows = features.filter(~base_failed()).select("lang", "source", F.explode(pairs).alias("p"))
     return rows.groupBy("lang", "source", "p.rate", "p.bin").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketches: DataFrame, fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, low, high): maps from a rate to its thresholds in the group's, its language's or the corpus's sketch."""
+def thresholds(sketches: DataFrame, fence: int = FENCE, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, low_<rate>, high_<rate>): the thresholds of each group."""
+    parts = ("low", "mid", "up", "down")
 
-    def fences(s: DataFrame, keys: list[str]) -> DataFrame:
+    def quartiles(keys: list[str]) -> DataFrame:
+        """By keys and rate: lower quartile, median, and the distances from it to both quartiles."""
         w = Window.partitionBy(*keys, "rate")
-        s = s.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
-        s = s.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-        at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("bin")))
-        q = s.groupBy(*keys, "rate").agg(value_of(at(0.25)).alias("q25"), (value_of(at(0.75) + 1) - 1).alias("q75"), F.max("all").alias("texts"))
-        width = fence * (F.col("q75") - F.col("q25"))
-        return q.select(*keys, "rate", "texts", (F.col("q25") - width).alias("low"), (F.col("q75") + width).alias("high"))
-
-    own = fences(sketches, ["lang", "source"]).alias("o")
-    lang = fences(sketches, ["lang"]).alias("l")
-    every = fences(sketches, []).alias("e")
-    joined = own.join(lang, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.rate") == F.col("l.rate"))).join(F.broadcast(every), F.col("o.rate") == F.col("e.rate"))
-    pick = lambda c: F.when(F.col("o.texts") >= min_group, F.col(f"o.{c}")).when(F.col("l.texts") >= min_group, F.col(f"l.{c}")).otherwise(F.col(f"e.{c}"))
-    chosen = joined.select("o.lang", "o.source", "o.rate", pick("low").alias("low"), pick("high").alias("high"))
-    low = [F.max(F.when(F.col("rate") == k, F.least("low", F.lit(floor)))).alias(f"low_{k}") for k, (floor, _) in FLOORS.items() if floor is not None]
-    high = [F.max(F.when(F.col("rate") == k, F.greatest("high", F.lit(floor)))).alias(f"high_{k}") for k, (_, floor) in FLOORS.items()]
-    return chosen.groupBy("lang", "source").agg(*low, *high)
+        s = sketches.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
+        s = s.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("texts", F.sum("n").over(w))
+        at = lambda q: value_of(F.min(F.when(F.col("upto") >= F.ceil(F.col("texts") * q), F.col("bin"))))
+        q = s.groupBy(*keys, "rate", "texts").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
+        return q.select(*keys, "rate", "texts", "low", "mid", (F.col("high") - F.col("mid")).alias("up"), (F.col("mid") - F.col("low")).alias("down"))
+
+    def lean(a: str, b: str) -> list[Column]:
+        """The values of a, as if `prior` texts with the values of b were among its own."""
+        return [((F.col(f"{a}.{c}") * F.col(f"{a}.texts") + prior * F.col(f"{b}.{c}")) / (F.col(f"{a}.texts") + prior)).alias(c) for c in parts]
+
+    every, lang, own = quartiles([]).alias("e"), quartiles(["lang"]).alias("l"), quartiles(["lang", "source"]).alias("o")
+    least = lambda c, d: F.least(F.col(c), F.col(d))
+    lang = lang.join(F.broadcast(every), F.col("l.rate") == F.col("e.rate")).select("l.lang", "l.rate", *lean("l", "e"), F.col("e.up").alias("every_up"), F.col("e.down").alias("every_down"))
+    lang = lang.withColumn("most_up", least("up", "every_up")).withColumn("most_down", least("down", "every_down")).alias("l")
+    own = own.join(lang, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.rate") == F.col("l.rate"))).select("o.lang", "o.source", "o.rate", *lean("o", "l"), "most_up", "most_down")
+    own = own.withColumn("up", least("up", "most_up")).withColumn("down", least("down", "most_down"))
+    wide = own.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == k, F.col(c))).alias(f"{c}_{k}") for k in (*RATES, *SIZES) for c in parts])
+
+    def spread(k: str, side: str) -> Column:
+        return F.greatest(F.lit(1000.0 * GRAIN[k]) / F.greatest(F.col(f"low_{RATES[k][1]}"), F.lit(1.0)), F.col(f"{side}_{k}"))
+
+    high = [(F.col(f"mid_{k}") + fence * spread(k, "up")).alias(f"high_{k}") for k in RATES]
+    low = [(F.col(f"mid_{k}") - fence * spread(k, "down")).alias(f"low_{k}") for k in LOWER]
+    return wide.select("lang", "source", *low, *high)
 
 
 def _judged(features: DataFrame, limits: DataFrame) -> DataFrame:
     """features with base_failed and kept."""
     ok = F.lit(True)
     for k, v in rates().items():
-        if FLOORS[k][0] is not None:
+        if k in LOWER:
             ok &= F.coalesce(v >= F.col(f"low_{k}"), F.lit(True))
         ok &= F.coalesce(v <= F.col(f"high_{k}"), F.lit(True))
     f, t = features.alias("f"), limits.alias("t")
@@ -160,7 +183,9 @@ def judge(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "s
     """The columns `keep` of docs with COUNTS, base_failed and kept."""
     named = docs.select(F.struct(*keep).alias("_keep"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     features = store(count_features(named, ["_keep", "lang", "source"]), "features")
-    limits = store(thresholds(store(sketch(features), "sketches")), "thresholds")
+    sketches = store(sketch(features), "sketches")
+    limits = store(thresholds(sketches), "thresholds")
+    discard(sketches)
     return _judged(features, limits).select("_keep.*", *COUNTS, "base_failed", "kept")
 
 
@@ -168,7 +193,9 @@ def keep_good(docs: DataFrame, lang: str = "lang", source: str = "source", text:
     """The rows of docs that are kept. Texts are counted twice, for the sketches and for the verdict, and not stored."""
     rest = [c for c in docs.columns if c != text]
     named = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_keep"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("_text"))
-    limits = store(thresholds(store(sketch(count_features(named, ["lang", "source"], "_text")), "sketches")), "thresholds")
+    sketches = store(sketch(count_features(named, ["lang", "source"], "_text")), "sketches")
+    limits = store(thresholds(sketches), "thresholds")
+    discard(sketches)
     good = _judged(count_features(named, ["_keep", "lang", "source"], "_text", True), limits).filter("kept")
     return good.select(*[F.col("_text").alias(c) if c == text else F.col("_keep")[c].alias(c) for c in docs.columns])
 

@@ -18,26 +18,34 @@ SELECT w.doc_id, class_id, (SELECT count(*) FROM links WHERE a = w.doc_id) AS n_
 FROM w JOIN class ON w.doc_id = class.doc_id"""
 
 
+_HALF, _LOW = quality.EXACT // 2, quality.EXACT.bit_length() - 1
+
+
 def _value(b: str) -> str:
-    return f"(CASE WHEN {b} < 64 THEN {b} ELSE ((({b}) - 64) % 32 + 32) * pow(2, floor((({b}) - 64) / 32) + 1) END)::bigint"
+    return f"(CASE WHEN {b} < {quality.EXACT} THEN {b} ELSE ((({b}) - {quality.EXACT}) % {_HALF} + {_HALF}) * pow(2, floor((({b}) - {quality.EXACT}) / {_HALF}) + 1) END)::bigint"
 
 
-def _fences(name: str, keys: str) -> str:
+def _quartiles(name: str, keys: str) -> str:
     by, on = (f"{keys}, ", f"{keys}, rate") if keys else ("", "rate")
-    at = lambda q: f"min(bin) FILTER (upto >= ceil(everyone * {q}))"
-    return f"""{name}_runs AS (SELECT {by}rate, bin, sum(n) OVER (PARTITION BY {on} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {on}) AS everyone FROM (SELECT {by}rate, bin, sum(n) AS n FROM sketch GROUP BY ALL)),
-{name}_q AS (SELECT {by}rate, {_value(at(0.25))} AS q25, {_value(f"({at(0.75)}) + 1")} - 1 AS q75, max(everyone) AS texts FROM {name}_runs GROUP BY ALL),
-{name} AS (SELECT {by}rate, texts, q25 - {quality.FENCE} * (q75 - q25) AS low, q75 + {quality.FENCE} * (q75 - q25) AS high FROM {name}_q)"""
+    at = lambda q: _value(f"(min(bin) FILTER (upto >= ceil(texts * {q})))")
+    return f"""{name}_runs AS (SELECT {by}rate, bin, sum(n) OVER (PARTITION BY {on} ORDER BY bin)::bigint AS upto, sum(n) OVER (PARTITION BY {on})::bigint AS texts FROM (SELECT {by}rate, bin, sum(n) AS n FROM sketch GROUP BY ALL)),
+{name}_q AS (SELECT {by}rate, texts, {at(0.25)} AS low, {at(0.5)} AS mid, {at(0.75)} AS high FROM {name}_runs GROUP BY {by}rate, texts),
+{name} AS (SELECT {by}rate, texts, low, mid, high - mid AS up, mid - low AS down FROM {name}_q)"""
+
+
+def _lean(a: str, b: str) -> str:
+    return ", ".join(f"({a}.{c} * {a}.texts + {quality.PRIOR} * {b}.{c}) / ({a}.texts + {quality.PRIOR})::double AS {c}" for c in ("low", "mid", "up", "down"))
+
+
+def _spread(k: str, side: str) -> str:
+    return f"greatest({1000.0 * quality.GRAIN[k]}::double / greatest(low_{quality.RATES[k][1]}, 1.0::double), {side}_{k})"
 
 
-RATES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "n_letters"), "word_length": ("word_chars", "n_words")}
-_rate = lambda k: "coalesce(floor(1000 * {} / nullif({}, 0)), 0)::bigint".format(*RATES[k])
-_verdict = " AND ".join(
-    [f"coalesce(r_{k} >= low_{k}, true)" for k, (low, _) in quality.FLOORS.items() if low is not None] + [f"coalesce(r_{k} <= high_{k}, true)" for k in quality.FLOORS]
-)
-_limits = ", ".join(
-    [f"max(least(low, {low})) FILTER (rate = '{k}') AS low_{k}" for k, (low, _) in quality.FLOORS.items() if low is not None] + [f"max(greatest(high, {high})) FILTER (rate = '{k}') AS high_{k}" for k, (_, high) in quality.FLOORS.items()]
-)
+_rate = lambda k: "coalesce(floor(1000 * {} / nullif({}, 0)), 0)::bigint".format(*quality.RATES[k])
+_verdict = " AND ".join([f"coalesce(r_{k} >= least_{k}, true)" for k in quality.LOWER] + [f"coalesce(r_{k} <= most_{k}, true)" for k in quality.RATES])
+_wide = ", ".join(f"max({c}) FILTER (rate = '{k}') AS {c}_{k}" for k in (*quality.RATES, *quality.SIZES) for c in ("low", "mid", "up", "down"))
+_limits = ", ".join([f"mid_{k} - {quality.FENCE} * {_spread(k, 'down')} AS least_{k}" for k in quality.LOWER] + [f"mid_{k} + {quality.FENCE} * {_spread(k, 'up')} AS most_{k}" for k in quality.RATES])
+_values = ", ".join([f"{{'rate': '{k}', 'v': r_{k}}}" for k in quality.RATES] + [f"{{'rate': '{k}', 'v': {k}::bigint}}" for k in quality.SIZES])
 
 QUALITY = rf"""WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {SPLIT.format("coalesce(text, '')")} AS w FROM documents),
 lines AS (SELECT doc_id, sum(c) AS n_lines, sum(c - 1) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY 1),
@@ -47,15 +55,16 @@ covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM again, (
 counts AS (SELECT t.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup_lines, 0)::bigint AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0)::bigint AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters
   FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
-rated AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, {", ".join(f"{_rate(k)} AS r_{k}" for k in RATES)} FROM counts),
-long AS (SELECT lang, source, unnest([{", ".join(f"{{'rate': '{k}', 'v': r_{k}}}" for k in RATES)}]) AS x FROM rated WHERE NOT base_failed),
-sketch AS (SELECT lang, source, x.rate AS rate, CASE WHEN x.v < 64 THEN x.v ELSE 32 * (floor(log2(x.v)) - 4) + floor(x.v / pow(2, floor(log2(x.v)) - 5)) - 32 END::bigint AS bin, count(*) AS n FROM long GROUP BY ALL),
-{_fences("own", "lang, source")},
-{_fences("tongue", "lang")},
-{_fences("whole", "")},
-chosen AS (SELECT o.lang, o.source, o.rate, CASE WHEN o.texts >= {quality.MIN_GROUP} THEN o.low WHEN l.texts >= {quality.MIN_GROUP} THEN l.low ELSE e.low END AS low, CASE WHEN o.texts >= {quality.MIN_GROUP} THEN o.high WHEN l.texts >= {quality.MIN_GROUP} THEN l.high ELSE e.high END AS high
-  FROM own o JOIN tongue l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN whole e ON o.rate = e.rate),
-limits AS (SELECT lang, source, {_limits} FROM chosen GROUP BY lang, source)
+rated AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, {", ".join(f"{_rate(k)} AS r_{k}" for k in quality.RATES)} FROM counts),
+long AS (SELECT lang, source, unnest([{_values}]) AS x FROM rated WHERE NOT base_failed),
+sketch AS (SELECT lang, source, x.rate AS rate, CASE WHEN x.v < {quality.EXACT} THEN x.v ELSE {_HALF} * (floor(log2(x.v)) - {_LOW - 1}) + floor(x.v / pow(2, floor(log2(x.v)) - {_LOW - 1})) END::bigint AS bin, count(*) AS n FROM long GROUP BY ALL),
+{_quartiles("own", "lang, source")},
+{_quartiles("tongue", "lang")},
+{_quartiles("whole", "")},
+leaning AS (SELECT l.lang, l.rate, {_lean("l", "e")}, e.up AS every_up, e.down AS every_down FROM tongue l JOIN whole e ON l.rate = e.rate),
+chosen AS (SELECT lang, source, rate, low, mid, least(up, most_up) AS up, least(down, most_down) AS down FROM (SELECT o.lang, o.source, o.rate, {_lean("o", "l")}, least(l.up, every_up) AS most_up, least(l.down, every_down) AS most_down
+  FROM own o JOIN leaning l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate)),
+limits AS (SELECT lang, source, {_limits} FROM (SELECT lang, source, {_wide} FROM chosen GROUP BY lang, source))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_verdict} AS kept
 FROM rated r LEFT JOIN limits m ON r.lang IS NOT DISTINCT FROM m.lang AND r.source IS NOT DISTINCT FROM m.source"""
 
