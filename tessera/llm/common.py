@@ -66,18 +66,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def global_index(df: DataFrame, col: str, index: str) -> DataFrame:
-    """Number the rows 0, 1, 2, ... by ascending `col` (code-point order, nulls last) without one task seeing all.
+def running_sum(df: DataFrame, order: list[Column], value: str, total: str) -> DataFrame:
+    """Add the sum of the whole numbers `value` of each row and those before it, without one task seeing all.
 
-    Rows are range-partitioned and numbered per partition; only the partitions' sizes meet in one task.
+    Rows are range-partitioned and summed per partition; only the partitions' sums meet in one task. Rows that agree in
+    `order` come in any order.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.col(col).asc_nulls_last()
-    dealt = store(df.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()), "ranged")
-    before = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = before.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return dealt.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(index, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
+    dealt = store(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(total, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
+
+
+def global_index(df: DataFrame, col: str, index: str) -> DataFrame:
+    """Number the rows 0, 1, 2, ... by ascending `col` (code-point order, nulls last)."""
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), [F.col(col).asc_nulls_last()], "_one", index).withColumn(index, F.col(index) - 1).drop("_one")
 
 
 def sample_bounds(ids: DataFrame, n: int, sample: int = 16) -> list[int]:
@@ -92,18 +97,6 @@ def sample_bounds(ids: DataFrame, n: int, sample: int = 16) -> list[int]:
     return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
 
 
-def tree_index(bounds: list[int], key: Column) -> Column:
-    """The number of bounds at or below key, by a tree of comparisons; after all of them for null."""
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < bounds[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return F.when(key.isNull(), F.lit(len(bounds))).otherwise(tree(0, len(bounds)))
-
-
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and use it several times inside `body` (a function of a column)."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,10 +1,12 @@
 """A deterministic sharded WARC writer, and a reader.
 
-Records are range-sorted by id into shards whose boundaries come from a hash sample of the ids, so they don't depend on
-how the input is partitioned. A task writes a shard's records one gzip member each, with headers and digests made
-afresh, and rolls to the next file once the compressed size reaches a limit. A file is written under a temporary name
-of its own attempt and renamed when whole; attempts that repeat write the same bytes. The manifest, renamed into place
-last, lists the files that count; the reader reads those.
+Records are range-sorted by id and payload digest into shards of about equal bytes, however many these are. Their
+boundaries come from a hash sample in which large records are likelier, so they don't depend on how the input is
+partitioned. A task writes a shard's records one gzip member each, with headers and digests made afresh, and rolls to
+the next file once the compressed size reaches a limit. A file is written under a temporary name of its own attempt
+and renamed when whole, in place of one that an earlier attempt has left; attempts that repeat write the same bytes.
+The manifest, renamed into place last, lists the files that count; the reader reads those. What lost attempts have
+left under temporary names is deleted after that.
 
 Of records with equal payloads of at least `min_revisit` bytes the one with the smallest id is a response and the
 others are revisits of it, with the full payload's size and digest in their headers.
@@ -20,6 +22,7 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import zip_longest
 
@@ -27,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, sample_bounds, store, tidy, tree_index
+from tessera.llm.common import discard, new_path, running_sum, store, tidy
 
 SHARD_BYTES = 64 << 20
 """Payload bytes a shard aims at."""
 ROLL_BYTES = 16 << 20
 """Compressed bytes after which a file ends."""
-MAX_SHARDS = 4096
-"""More data make shards of more files."""
+SAMPLE = 16
+"""Sampled records a shard, about; one boundary of them reaches the driver and each task (24 bytes a shard)."""
+MAX_TASKS = 100_000
+"""Tasks that write; of more shards, neighbours share a task and are written one after another."""
+UNIT = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 CHUNK = 1 << 20
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -99,7 +105,10 @@ class Roller:
     def finish(self) -> tuple:
         self.out.close()
         self.out = None
-        self.fs.move(self.temporary, f"{self.folder}/{self.name}")
+        final = f"{self.folder}/{self.name}"
+        if self.fs.get_file_info(final).is_file:
+            self.fs.delete_file(final)
+        self.fs.move(self.temporary, final)
         return (self.name, self.shard, self.roll, self.records, self.bytes, self.sha.hexdigest())
 
     def put(self, shard: int, raw: bytes) -> Iterator[tuple]:
@@ -127,6 +136,32 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int) -> I
     yield pa.record_batch([pa.array(c, pa.string() if k in ("file", "sha256") else pa.int64()) for k, c in zip_longest(names, zip(*files, strict=True), fillvalue=())], names=names)
 
 
+def shard_bounds(records: DataFrame, shard_bytes: int) -> list[tuple[bool, int, int]]:
+    """Ascending (id is null, id, salt) at which shards but the first begin. records: (id, salt, bytes).
+
+    A record of b bytes is drawn with probability SAMPLE * b / shard_bytes, by its hash, and stands for shard_bytes /
+    SAMPLE bytes, or for its own if these are more. Weights are whole numbers and sums exact, so reruns agree.
+    """
+    weight = F.greatest(F.lit(UNIT), (F.col("bytes") * SAMPLE * UNIT / shard_bytes).cast("long"))
+    draw = F.pmod(F.xxhash64("id", "salt"), F.lit(UNIT)) * shard_bytes < F.col("bytes") * SAMPLE * UNIT
+    drawn = records.filter(draw).groupBy("id", "salt").agg(F.sum(weight).alias("w"))
+    summed = running_sum(drawn, [F.col("id").asc_nulls_last(), F.col("salt")], "w", "upto")
+    shard = F.floor((F.col("upto") - F.col("w")) / (SAMPLE * UNIT))
+    key = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "salt")
+    return [tuple(r["key"]) for r in summed.groupBy(shard.alias("shard")).agg(F.min(key).alias("key")).orderBy("shard").collect()][1:]
+
+
+def shard_of(spark: SparkSession, bounds: list[tuple[bool, int, int]]):
+    """A function of the columns id and salt: the number of bounds at or below them."""
+    sent = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("long")
+    def place(ids: pa.Array, salts: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(sent.value, (i is None, i or 0, s)) for i, s in zip(ids.to_pylist(), salts.to_pylist(), strict=True)], pa.int64())
+
+    return place
+
+
 def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = 0) -> DataFrame:
     """Write pages into `folder`, which all executors share; returns the manifest."""
     spark = pages.sparkSession
@@ -134,18 +169,23 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), raw.alias("payload")).withColumn("digest", F.sha1("payload"))
     groups = rows.filter(F.length("payload") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     groups = store(groups, "revisits")
-    total = rows.agg(F.sum(F.length("payload"))).first()[0] or 0
-    bounds = sample_bounds(rows.select("id"), min(MAX_SHARDS, -(-total // shard_bytes)))
+    salt = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    bounds = shard_bounds(rows.select("id", salt.alias("salt"), F.length("payload").cast("long").alias("bytes")), shard_bytes)
     shards = len(bounds) + 1
-    dealt = rows.join(groups, "digest", "left").select(tree_index(bounds, F.col("id")).alias("shard"), "id", "url", "payload", "digest", "first", "n")
+    tasks = min(shards, MAX_TASKS)
+    place = shard_of(spark, bounds) if bounds else lambda *_: F.lit(0).cast("long")
+    dealt = rows.join(groups, "digest", "left").withColumn("shard", place(F.col("id"), salt)).select("shard", "id", "url", "payload", "digest", "first", "n")
     order = ("shard", F.col("id").asc_nulls_last(), "digest", F.col("url").asc_nulls_last())
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions(*order)
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions(*order)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}")
     at(".").getFileSystem(conf).mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
     dealt.mapInArrow(lambda it: _write(it, folder, roll_bytes), MANIFEST).write.parquet(f"{folder}/_manifest.tmp")
     if not at("_manifest").getFileSystem(conf).rename(at("_manifest.tmp"), at("_manifest")):
         raise OSError(f"can't commit {folder}")
+    for left in at(".").getFileSystem(conf).globStatus(at("_temporary.*")) or ():
+        left.getPath().getFileSystem(conf).delete(left.getPath(), False)
+    discard(groups)
     return manifest(spark, folder)
 
 

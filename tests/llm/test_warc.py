@@ -73,3 +73,27 @@ def test_damage_is_noticed(spark, tmp_path):
             W.parse(b"WARC/1.1\r\n" + x)
     with pytest.raises(ValueError):
         list(W.members(iter([open(f, "rb").read()[:-9]])))
+
+
+def test_shards_follow_bytes(spark, tmp_path):
+    """Shards hold like numbers of bytes, however many there are, whatever ids are null or repeat."""
+    rows = [(i, None, "x" * (4000 if i < 20 else 100)) for i in range(600)] + [(None, None, f"no id {i} " * 20) for i in range(300)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = str(tmp_path / "b")
+    W.write_archive(docs, folder, shard_bytes=4000, roll_bytes=10**9)
+    held = {}
+    for r in W.manifest(spark, folder).collect():
+        with open(f"{folder}/{r['file']}", "rb") as f:
+            held.setdefault(r["shard"], []).extend(W.parse(raw)[2] for raw in W.members(iter([f.read()])))
+    assert len(held) > 30 and max(sum(x) for x in held.values()) < 5 * 4000
+    assert sum(map(len, held.values())) == 900
+
+
+def test_attempts_that_repeat(spark, tmp_path):
+    """What lost attempts have left, whole or temporary, is replaced or deleted."""
+    folder = tmp_path / "c"
+    folder.mkdir()
+    for name in ("part-00000-00000.warc.gz", "_temporary.part-00000-00000.warc.gz.dead"):
+        (folder / name).write_bytes(b"left")
+    W.write_archive(pages(spark), str(folder))
+    assert W.read_archive(spark, str(folder)).count() == pages(spark).count() and not glob.glob(f"{folder}/_temporary*")
