@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import documents, store, tidy
+from tessera.llm.common import discard, documents, store, tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -36,8 +36,8 @@ ROWS = 6
 BLOCK_NODES = 128
 BLOCK_GRAMS = 1 << 20
 """A block holds about so many nodes, and n-grams, at most."""
-FILTER_BITS = 24
-"""Two to this power are the bits of the filter of candidate texts."""
+MOST_FILTER_BITS = 31
+"""The filter of candidate texts has 16 to 32 bits a candidate, at most two to this power (256 MB); what it lets through is joined exactly."""
 SEED = 7919
 KNOWN_WORDS = 250_000
 
@@ -133,14 +133,14 @@ def _keys(batches: Iterator[pa.RecordBatch], words: int, n_bands: int, rows: int
         yield pa.record_batch([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([len(g) for _, g in found], pa.int64()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "node", "grams", "buckets"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int, bits: np.ndarray, power: int) -> Iterator[pa.RecordBatch]:
     for b in tidy(batches):
         nodes, sets = [], []
         for t in b.column(0):
             node, grams = gram_hashes(t.as_py(), words)
             if node is None:
                 continue
-            place = int(_mix(np.array([node & M64], np.uint64))[0]) >> (64 - FILTER_BITS)
+            place = int(_mix(np.array([node & M64], np.uint64))[0]) >> (64 - power)
             if bits[place >> 6] >> np.uint64(place & 63) & np.uint64(1):
                 nodes.append(node)
                 sets.append(np.unique(grams).view(np.int64))
@@ -249,7 +249,9 @@ def components(edges: DataFrame) -> DataFrame:
             moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             moved = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return store(moved.filter("a <> b").distinct(), "edges")
+        out = store(moved.filter("a <> b").distinct(), "edges")
+        discard(least, e)
+        return out
 
     now = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     before = None
@@ -257,14 +259,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         now = step(step(now, True), False)
     roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return store(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    out = store(roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    discard(now)
+    return out
 
 
-def _filter(nodes: DataFrame) -> np.ndarray:
-    """A bit set of hashed nodes, of fixed size: it tells most texts that aren't candidates before their sets move."""
-    place = nodes.mapInArrow(lambda it: (pa.record_batch([pa.array((_mix(b.column(0).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64))], names=["p"]) for b in it), "p long")
+def _filter(nodes: DataFrame, power: int) -> np.ndarray:
+    """A bit set of hashed nodes: it tells most texts that aren't candidates before their sets move."""
+    place = nodes.mapInArrow(lambda it: (pa.record_batch([pa.array((_mix(b.column(0).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(64 - power)).astype(np.int64))], names=["p"]) for b in it), "p long")
     words = place.groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits = np.zeros(1 << (power - 6), np.uint64)
     for w, v in words:
         bits[w] = v & M64
     return bits
@@ -288,22 +292,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = store(entries.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last").select("bucket", "b"), "buckets")
     star = entries.join(shared, "bucket").filter("node <> b").select(F.col("node").alias("a"), "b")
     groups = components(star)
+    discard(entries, shared)
 
     size = groups.join(nodes, "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("grams").alias("g"))
     size = store(size.select("root", F.greatest(F.ceil(F.col("n") / block_nodes), F.ceil(F.col("g") / block_grams)).cast("int").alias("blocks")), "groups")
     members = store(groups.join(size, "root").join(nodes, "node").select("node", "root", "blocks", "copies"), "members")
-    bits = spark.sparkContext.broadcast(_filter(members.select("node")))
-    sets = named.select("text").mapInArrow(lambda it: _sets(it, words, bits.value), "node long, set array<long>")
+    power = min(MOST_FILTER_BITS, max(10, (16 * members.count()).bit_length()))
+    bits = spark.sparkContext.broadcast(_filter(members.select("node"), power))
+    discard(groups, size)
+    sets = named.select("text").mapInArrow(lambda it: _sets(it, words, bits.value, power), "node long, set array<long>")
     sets = members.join(sets.dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "o").alias("low"), F.greatest("block", "o").alias("high"), "block", "node", "copies", "set")
     found = store(cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high").mapInArrow(lambda it: _verify(it, threshold), "node long, links long, to long"), "links")
 
     classes = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    discard(members)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     placed = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = store(placed, "placed")
+    discard(nodes, classes, found)
     ids = store(placed.groupBy("root").agg(F.min("first").alias("class_id")), "ids")
-    placed = store(placed.join(ids, "root").select("node", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    last, placed = placed, store(placed.join(ids, "root").select("node", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    discard(last, ids)
     out = keys.select("doc_id", "node").join(placed, "node", "left")
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
