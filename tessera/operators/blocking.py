@@ -74,7 +74,7 @@ STRATEGIES = {
     "audit": ("A3", "P2", "P3", "A6", "P5", "A4", "A5", "A7", "A8", "A9", "A10"),
     "experiment": ("A3", "P2", "P3", "X1", "X2", "P5", "X3", "F3"),
 }
-DEPTHS = {"A": ("8", 25), "B": ("8", 100), "C": ("8", 50), "D": ("D", 50), "E": ("D", 50), "F": ("D", 50)}
+DEPTHS = {"A": ("8", 25), "B": ("8", 50), "C": ("8", 100), "D": ("D", 50), "E": ("D", 50), "F": ("D", 50)}
 """Of each compared strategy, its passes and how many candidates an entity keeps."""
 
 
