@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.similarity import measures
-from tessera.operators.ranking import deduplicate, sample
+from tessera.operators.ranking import deduplicate, digest_rank, first_rows, sample
 
 
 def explode_links(truth: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def target_pool(targets: DataFrame, links: DataFrame, distractors: int, seed: in
     """All linked targets and, of each source file (by id prefix), so many others at most, each once; is_true tells which."""
     true = targets.join(links.select(F.col("target_id").alias("entity_id")).distinct(), "entity_id", "left_semi").withColumn("is_true", F.lit(1))
     other = targets.join(links.select(F.col("target_id").alias("entity_id")), "entity_id", "left_anti")
-    w = Window.partitionBy(F.substring("entity_id", 1, 3)).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("entity_id"))), "entity_id")
-    other = other.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= distractors).drop("_n").withColumn("is_true", F.lit(0))
+    other = digest_rank(other, [F.substring("entity_id", 1, 3)], F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("entity_id"))))
+    other = other.filter(F.col("_rank") <= distractors).drop("_rank", "_of").withColumn("is_true", F.lit(0))
     return deduplicate(true.unionByName(other), F.col("is_true"))
 
 
@@ -53,7 +53,8 @@ def inject_missed(labelled: DataFrame, links: DataFrame) -> DataFrame:
 def hardest_negatives(labelled: DataFrame, ratio: float = 3.0) -> DataFrame:
     """The negatives that rank first, `ratio` times as many as there are positives."""
     n = int(labelled.filter("label = 1").count() * ratio)
-    return labelled.filter("label = 0").orderBy("candidate_rank", F.desc("jaccard_score"), "s1_id", "target_id").limit(n)
+    bucket = F.col("candidate_rank").cast("long") * 8192 + 4096 - F.floor(F.col("jaccard_score") * 4096)
+    return first_rows(labelled.filter("label = 0"), n, bucket, ["candidate_rank", F.desc("jaccard_score"), "s1_id", "target_id"])
 
 
 def random_negatives(labelled: DataFrame, ratio: float = 3.0, seed: int = 42) -> DataFrame:

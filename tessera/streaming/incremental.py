@@ -18,9 +18,11 @@ from tessera.operators.keys import prepare
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, or below a local one that is removed at the end where that is unset."""
+    """A fresh folder below spark.checkpoint.dir. Where that is unset it must be a local session, which gets one that is removed at the end."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -46,9 +48,8 @@ def match_batches(sources: DataFrame, targets: DataFrame, batches: int, k: int =
     """The top-K lists of sources that are fed to match_stream() in so many batches."""
     spark = sources.sparkSession
     base = new_folder(spark, "stream")
-    parts = sources.withColumn("_b", F.pmod(F.xxhash64("entity_id"), F.lit(batches)))
-    for i in range(batches):
-        parts.filter(F.col("_b") == i).drop("_b").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    # One write deals the sources out; each file is a batch, at least `batches` of them if there are so many sources.
+    sources.repartition(batches, F.xxhash64("entity_id")).write.parquet(f"{base}/in")
     arriving = spark.readStream.schema(sources.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     match_stream(arriving, targets, f"{base}/out", f"{base}/state", k).awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch")
