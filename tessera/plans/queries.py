@@ -74,7 +74,13 @@ def _clean(fx: Fixture) -> DataFrame:
     return fx.records.select("entity_id", full.alias("full_name"), core.alias("core_name"))
 
 
-@add("er_clean_address")
+_ASCII_ADDRESS = r"lower(regexp_replace(strip_accents(coalesce(business_address, '')), '[^\x00-\x7F]', '', 'g'))"
+_WRITTEN_OUT = _ASCII_ADDRESS
+for _short, _long in N.ABBREVIATIONS:
+    _WRITTEN_OUT = rf"regexp_replace({_WRITTEN_OUT}, '\b(?:{_short})\b', '{_long}', 'g')"
+
+
+@add("er_clean_address", sql.query(rf"SELECT entity_id, trim(regexp_replace(regexp_replace({_WRITTEN_OUT}, '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS address, array_to_string(list_sort(list_distinct(regexp_extract_all({_ASCII_ADDRESS}, '\b[0-9]+\b'))), ',') AS numbers FROM rec"))
 def _clean_address(fx: Fixture) -> DataFrame:
     address, numbers = N.clean_address("business_address")
     return fx.records.select("entity_id", address.alias("address"), F.array_join(numbers, ",").alias("numbers"))
@@ -166,10 +172,21 @@ add("er_pair_recall", sql.query("SELECT (SELECT count(*) FROM pairs) AS pairs, (
 COUNTS = "counts AS (SELECT s.entity_id, count(p.s1_id) AS n FROM s LEFT JOIN pairs p ON s.entity_id = p.s1_id GROUP BY 1)"
 add("er_candidate_stats", sql.query("SELECT round(avg(n), 9) AS average, quantile_cont(n, 0.5)::double AS median, round(quantile_cont(n, 0.95)::double, 9) AS p95, round(quantile_cont(n, 0.99)::double, 9) AS p99, max(n) AS greatest, count(*) FILTER (n = 0) AS without FROM counts", EIGHT, sql.PAIRS, COUNTS))(lambda fx: evaluate.candidate_stats(blocking.candidates(*_st(fx)), fx.sources).withColumns({c: F.round(c, 9) for c in ("average", "p95", "p99")}))
 add("er_nearest_rank", sql.query("SELECT sum(n)::bigint AS rows, count(*) AS entities, (SELECT n FROM (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i FROM (SELECT count(*) AS n FROM pairs GROUP BY s1_id)) WHERE i = floor((SELECT count(DISTINCT s1_id) FROM pairs) * 0.95::double)) AS value FROM (SELECT count(*) AS n FROM pairs GROUP BY s1_id)", EIGHT, sql.PAIRS))(lambda fx: evaluate.nearest_rank(blocking.candidates(*_st(fx))))
-add("er_missed_links", sql.query("SELECT s1_id, target_id FROM links l WHERE NOT EXISTS (SELECT 1 FROM topk k WHERE k.s1_id = l.s1_id AND k.target_id = l.target_id)", *TOPK))(lambda fx: evaluate.missed_links(fx.links, _topk(fx)))
+FEW = (sql.passes(("P6",)), sql.PAIRS)
+"""A strategy that misses links."""
+MISSED = "SELECT l.s1_id, l.target_id FROM links l WHERE NOT EXISTS (SELECT 1 FROM pairs k WHERE k.s1_id = l.s1_id AND k.target_id = l.target_id)"
+add("er_missed_links", sql.query(MISSED, *FEW))(lambda fx: evaluate.missed_links(fx.links, blocking.candidates(*_st(fx), ("P6",))))
 
+_MISS = rf"""missed AS ({MISSED}), words AS (SELECT t.raw_name, s.norm_name AS a, t.norm_name AS b, trim(s.norm_addr) = '' OR trim(t.norm_addr) = '' AS no_address,
+  list_intersect(list_filter(regexp_split_to_array(s.norm_name, '\s+'), lambda x: x <> ''), list_filter(regexp_split_to_array(t.norm_name, '\s+'), lambda x: x <> '')) AS shared
+  FROM missed JOIN s ON s.entity_id = s1_id JOIN t ON t.entity_id = target_id),
+categories AS (SELECT CASE WHEN regexp_matches(coalesce(raw_name, ''), '[^\x00-\x7F]') THEN 'indic_or_cjk_target_name' WHEN trim(a) = '' AND trim(b) = '' THEN 'both_names_missing' WHEN trim(a) = '' OR trim(b) = '' THEN 'one_name_missing'
+  WHEN len(shared) = 0 AND no_address THEN 'no_name_overlap_no_address' WHEN len(shared) = 0 THEN 'no_name_overlap_address_only' WHEN list_max(list_transform(shared, lambda x: length(x))) < 4 THEN 'only_short_tokens_shared'
+  WHEN no_address THEN 'name_overlap_no_address' ELSE 'other' END AS category FROM words)"""
+SHARES = "SELECT category, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6)::double AS percent FROM categories GROUP BY category"
 
-@add("er_miss_categories")
+
+@add("er_miss_categories", sql.query(SHARES, *FEW, _MISS))
 def _misses(fx: Fixture) -> DataFrame:
     missed = evaluate.missed_links(fx.links, blocking.candidates(*_st(fx), ("P6",)))
     return evaluate.shares(ranking.fetch(missed, *_st(fx)).withColumn("category", evaluate.miss_category()))
@@ -296,9 +313,27 @@ def _noise(fx: Fixture) -> DataFrame:
     return audit.noise_summary(audit.pair_noise(pairs))
 
 
-add("er_check_split", sql.query("SELECT 0::bigint AS in_both, 0::bigint AS several, 0::bigint AS in_neither"))(lambda fx: checks.split_leaks(matching.split_sources(fx.sources, fx.truth)))
+# The checks are fed with faults, made of a sound input by the ids' last digits.
+
+
+@add("er_check_split", sql.query("SELECT (SELECT count(*) FROM faulty a JOIN faulty b ON a.entity_id = b.entity_id WHERE a.split = 'train' AND b.split = 'val') AS in_both, (SELECT count(*) FROM (SELECT entity_id FROM faulty GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS several, (SELECT count(*) FROM faulty WHERE split IS NULL OR split NOT IN ('train', 'val')) AS in_neither", sql.WITH_TRUTH, sql.SPLIT, """faulty AS (SELECT entity_id, split FROM split
+  UNION ALL SELECT entity_id, 'val' FROM split WHERE split = 'train' AND entity_id LIKE '%3' UNION ALL SELECT entity_id, 'test' FROM split WHERE entity_id LIKE '%7' UNION ALL SELECT entity_id, NULL FROM split WHERE entity_id LIKE '%70')"""))
+def _check_split(fx: Fixture) -> DataFrame:
+    split = matching.split_sources(fx.sources, fx.truth).select("entity_id", "split")
+    more = [split.filter("split = 'train' and entity_id like '%3'").withColumn("split", F.lit("val")), split.filter("entity_id like '%7'").withColumn("split", F.lit("test")), split.filter("entity_id like '%70'").withColumn("split", F.lit(None).cast("string"))]
+    return checks.split_leaks(tables.union(split, *more))
+
+
+add("er_check_sound_split", sql.query("SELECT count(*) FILTER (train > 0 AND val > 0) AS in_both, count(*) FILTER (splits > 1) AS several, count(*) FILTER (train + val = 0) AS in_neither FROM (SELECT entity_id, count(DISTINCT split) AS splits, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val FROM split GROUP BY 1)", sql.WITH_TRUTH, sql.SPLIT))(lambda fx: checks.split_leaks(matching.split_sources(fx.sources, fx.truth)))
 add("er_check_ids", sql.query("SELECT count(*) AS duplicates FROM (SELECT entity_id FROM rec GROUP BY 1 HAVING count(*) > 1)"))(lambda fx: checks.duplicate_ids(fx.records))
-add("er_check_topk", sql.query("SELECT 0::bigint AS twice, 0::bigint AS orphans, 0::bigint AS below, 0::bigint AS too_many"))(lambda fx: checks.topk_faults(_topk(fx), blocking.candidates(*_st(fx)), 25))
+@add("er_check_topk", sql.query("""SELECT (SELECT count(*) FROM (SELECT 1 FROM faulty GROUP BY s1_id, target_id HAVING count(*) > 1)) AS twice,
+  (SELECT count(*) FROM faulty f WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.s1_id = f.s1_id AND p.target_id = f.target_id)) AS orphans,
+  (SELECT count(*) FROM faulty WHERE candidate_rank > 3) AS below, (SELECT count(*) FROM (SELECT 1 FROM faulty GROUP BY s1_id HAVING count(*) > 3)) AS too_many""", *TOPK, """faulty AS (SELECT s1_id, target_id, candidate_rank FROM topk
+  UNION ALL SELECT s1_id, target_id, candidate_rank FROM topk WHERE candidate_rank = 1 AND s1_id LIKE '%1' UNION ALL SELECT s1_id, target_id || 'x', candidate_rank FROM topk WHERE candidate_rank = 2)"""))
+def _check_topk(fx: Fixture) -> DataFrame:
+    topk = _topk(fx).select("s1_id", "target_id", "candidate_rank")
+    more = [topk.filter("candidate_rank = 1 and s1_id like '%1'"), topk.filter("candidate_rank = 2").withColumn("target_id", F.concat("target_id", F.lit("x")))]
+    return checks.topk_faults(tables.union(topk, *more), blocking.candidates(*_st(fx)), 3)
 add("er_check_truth", sql.query("SELECT count(*) FILTER (target_id LIKE 'S1-%') AS to_sources, count(*) FILTER (target_id LIKE 'S2-%' AND target_id NOT IN (SELECT entity_id FROM rec)) AS missing_s2, count(*) FILTER (target_id LIKE 'S3-%' AND target_id NOT IN (SELECT entity_id FROM rec)) AS missing_s3, 0::bigint AS twice, 0::bigint AS across FROM links"))(lambda fx: checks.truth_faults(fx.links, fx.sources, fx.targets))
 add("er_check_balance", sql.query("SELECT (count(*) FILTER (label = 0) > 3 * count(*) FILTER (label = 1) + 1)::int AS too_many_negatives FROM labelled", *LABELLED))(lambda fx: checks.balance_fault(_labelled(fx)))
 
@@ -306,7 +341,22 @@ add("er_check_balance", sql.query("SELECT (count(*) FILTER (label = 0) > 3 * cou
 
 MATCHES = "SELECT s.entity_id AS source1_entity_id, coalesce(string_agg(k.target_id, ',' ORDER BY candidate_rank), '') AS matched_entity_ids FROM s LEFT JOIN (SELECT * FROM topk WHERE jaccard_score >= 0.5) k ON s.entity_id = k.s1_id GROUP BY 1"
 add("er_matches", sql.query(MATCHES, *TOPK))(lambda fx: tables.matches(fx.sources, _topk(fx).filter("jaccard_score >= 0.5")))
-add("er_result_faults", sql.query("SELECT 0::bigint AS missing, 0::bigint AS unknown, 0::bigint AS twice, 0::bigint AS unknown_targets, 0::bigint AS repeated_targets"))(lambda fx: tables.faults(tables.matches(fx.sources, _topk(fx)), fx.sources, fx.targets))
+_FAULTY_RESULT = f"""result AS ({MATCHES}), faulty AS (SELECT * FROM result WHERE source1_entity_id NOT LIKE '%5' UNION ALL SELECT source1_entity_id || 'x', matched_entity_ids FROM result WHERE source1_entity_id LIKE '%3'
+  UNION ALL SELECT source1_entity_id, '' FROM result WHERE source1_entity_id LIKE '%7' UNION ALL SELECT source1_entity_id || 'y', 'S2-none,' || matched_entity_ids || ',' || matched_entity_ids FROM result WHERE source1_entity_id LIKE '%9'),
+listed AS (SELECT * FROM (SELECT source1_entity_id, unnest(string_split(matched_entity_ids, ',')) AS target_id FROM faulty) WHERE target_id <> '')"""
+
+
+@add("er_result_faults", sql.query("""SELECT (SELECT count(*) FROM s WHERE entity_id NOT IN (SELECT source1_entity_id FROM faulty)) AS missing, (SELECT count(*) FROM faulty WHERE source1_entity_id NOT IN (SELECT entity_id FROM s)) AS unknown,
+  (SELECT count(*) FROM (SELECT 1 FROM faulty GROUP BY source1_entity_id HAVING count(*) > 1)) AS twice, (SELECT count(*) FROM listed WHERE target_id NOT IN (SELECT entity_id FROM t)) AS unknown_targets,
+  (SELECT count(*) FROM (SELECT 1 FROM listed GROUP BY source1_entity_id, target_id HAVING count(*) > 1)) AS repeated_targets""", *TOPK, _FAULTY_RESULT))
+def _result_faults(fx: Fixture) -> DataFrame:
+    result = tables.matches(fx.sources, _topk(fx).filter("jaccard_score >= 0.5"))
+    source, ids = F.col("source1_entity_id"), F.col("matched_entity_ids")
+    more = [
+        result.filter(source.like("%3")).withColumn("source1_entity_id", F.concat(source, F.lit("x"))), result.filter(source.like("%7")).withColumn("matched_entity_ids", F.lit("")),
+        result.filter(source.like("%9")).withColumns({"source1_entity_id": F.concat(source, F.lit("y")), "matched_entity_ids": F.concat_ws(",", F.lit("S2-none"), ids, ids)}),
+    ]
+    return tables.faults(tables.union(result.filter(~source.like("%5")), *more), fx.sources, fx.targets)
 
 
 @add("er_training_grids", docs=True)
