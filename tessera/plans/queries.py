@@ -94,6 +94,17 @@ def _tsv(fx: Fixture) -> DataFrame:
     return tables.read_tsv(spark, path)
 
 
+@add("er_lenient_tsv", sql.query("SELECT entity_id, business_name, business_address, country FROM rec WHERE entity_id NOT LIKE '%7'"))
+def _lenient_tsv(fx: Fixture) -> DataFrame:
+    """Rows of two fields among whole ones are dropped."""
+    spark = fx.records.sparkSession
+    path = incremental.new_folder(spark, "short")
+    short = F.col("entity_id").like("%7")
+    tables.write_tsv(fx.records.filter(~short).select("entity_id", "business_name", "business_address", "country"), f"{path}/whole")
+    tables.write_tsv(fx.records.filter(short).select("entity_id", "business_name"), f"{path}/short")
+    return tables.read_tsv(spark, f"{path}/*", lenient=True)
+
+
 # Blocking
 
 for _name in ("5", "8", "13", "D"):
@@ -155,10 +166,24 @@ add("er_label_docs", sql.query(f"SELECT {LABEL_COLUMNS} FROM labelled", *LABELLE
 add("er_hardest_negatives", sql.query(f"SELECT {LABEL_COLUMNS} FROM labelled WHERE label = 0 ORDER BY candidate_rank, jaccard_score DESC, s1_id, target_id LIMIT (SELECT (3 * count(*))::bigint FROM labelled WHERE label = 1)", *LABELLED, docs=True), docs=True)(lambda fx: links.hardest_negatives(_labelled(fx)).select(*LABEL_COLUMNS.split(", ")))
 add("er_random_negatives", sql.query(f"SELECT {LABEL_COLUMNS} FROM labelled WHERE label = 0 ORDER BY md5('42:' || s1_id || '|' || target_id), s1_id || '|' || target_id LIMIT (SELECT (3 * count(*))::bigint FROM labelled WHERE label = 1)", *LABELLED, docs=True), docs=True)(lambda fx: links.random_negatives(_labelled(fx)).select(*LABEL_COLUMNS.split(", ")))
 add("er_inject_missed", sql.query("SELECT s1_id, target_id, label FROM labelled UNION ALL SELECT s1_id, target_id, 1 FROM links l WHERE NOT EXISTS (SELECT 1 FROM labelled k WHERE k.s1_id = l.s1_id AND k.target_id = l.target_id)", *LABELLED))(lambda fx: links.inject_missed(_labelled(fx).select("s1_id", "target_id", "label"), fx.links))
-add("er_negative_categories", docs=True)(lambda fx: evaluate.shares(links.categorised_negatives(_labelled(fx))))
+_DOORS = "s1_door <> '' AND t_door <> '' AND s1_door <> t_door"
+_SHORT = "length(replace(s1_norm_name, ' ', '')) <= 5"
+_CATEGORY = f"""CASE WHEN name_sort >= 0.80 AND addr_sort < 0.40 THEN 'high_name_low_addr' WHEN addr_sort >= 0.75 AND name_sort < 0.40 THEN 'high_addr_low_name' WHEN name_sort >= 0.70 AND {_DOORS} THEN 'high_name_conflict_door'
+  WHEN addr_sort >= 0.70 AND name_sort < 0.60 THEN 'high_addr_diff_name' WHEN {_SHORT} THEN 'generic_name_collision' ELSE 'remaining_difficult' END"""
+MEASURED = (*LABELLED, sql.measured("labelled"))
+NEGATIVES = (*MEASURED, f"categories AS (SELECT s1_id, target_id, {_CATEGORY} AS category FROM measured WHERE label = 0)")
+SHARES = "SELECT category, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6)::double AS percent FROM categories GROUP BY category"
+_PLACES = ", ".join(f"('{c}', {i})" for i, c in enumerate(links.CATEGORIES))
+_ALLOCATED = f"""sizes AS (SELECT category, count(*) AS n, (SELECT 3 * count(*) FROM labelled WHERE label = 1) AS total FROM categories GROUP BY 1),
+placed AS (SELECT s.*, place, sum(n) OVER () AS everything, place = max(place) OVER () AS last FROM sizes s JOIN (VALUES {_PLACES}) v(category, place) ON s.category = v.category),
+early AS (SELECT *, CASE WHEN last THEN 0 ELSE least(total * n // everything, n) END AS part FROM placed),
+allowed AS (SELECT category, CASE WHEN last THEN least(total - sum(part) OVER (), n) ELSE part END AS most FROM early),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || s1_id || '|' || target_id), s1_id, target_id) AS place FROM categories)"""
+add("er_negative_categories", sql.query(SHARES, *NEGATIVES, docs=True), docs=True)(lambda fx: evaluate.shares(links.categorised_negatives(_labelled(fx))))
+add("er_balanced", sql.query("SELECT s1_id, target_id, label FROM labelled WHERE label = 1 UNION ALL SELECT s1_id, target_id, label FROM (SELECT * FROM labelled WHERE label = 0 ORDER BY candidate_rank, jaccard_score DESC, s1_id, target_id LIMIT (SELECT (3 * count(*))::bigint FROM labelled WHERE label = 1))", *LABELLED, docs=True), docs=True)(lambda fx: links.balanced(_labelled(fx), links.hardest_negatives(_labelled(fx))).select("s1_id", "target_id", "label"))
 
 
-@add("er_sampled_negatives", docs=True)
+@add("er_sampled_negatives", sql.query("SELECT s1_id, target_id, d.category FROM dealt d JOIN allowed a ON d.category = a.category WHERE place <= most", *NEGATIVES, _ALLOCATED, docs=True), docs=True)
 def _sampled(fx: Fixture) -> DataFrame:
     labelled = _labelled(fx)
     chosen = links.sample_negatives(links.categorised_negatives(labelled), 3 * labelled.filter("label = 1").count())
@@ -183,7 +208,6 @@ _MISS = rf"""missed AS ({MISSED}), words AS (SELECT t.raw_name, s.norm_name AS a
 categories AS (SELECT CASE WHEN regexp_matches(coalesce(raw_name, ''), '[^\x00-\x7F]') THEN 'indic_or_cjk_target_name' WHEN trim(a) = '' AND trim(b) = '' THEN 'both_names_missing' WHEN trim(a) = '' OR trim(b) = '' THEN 'one_name_missing'
   WHEN len(shared) = 0 AND no_address THEN 'no_name_overlap_no_address' WHEN len(shared) = 0 THEN 'no_name_overlap_address_only' WHEN list_max(list_transform(shared, lambda x: length(x))) < 4 THEN 'only_short_tokens_shared'
   WHEN no_address THEN 'name_overlap_no_address' ELSE 'other' END AS category FROM words)"""
-SHARES = "SELECT category, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6)::double AS percent FROM categories GROUP BY category"
 
 
 @add("er_miss_categories", sql.query(SHARES, *FEW, _MISS))
@@ -212,7 +236,13 @@ def _entity(fx: Fixture) -> DataFrame:
     return evaluate.entity_scores(predicted, fx.links, fx.sources.select(F.col("entity_id").alias("s1_id"))).withColumn("f", F.round("f", 9))
 
 
-@add("er_error_categories", docs=True)
+_ERRORS = f"""errors AS (SELECT 'false_positive' AS error, CASE WHEN name_sort >= 0.85 AND addr_sort < 0.40 THEN 'same_name_diff_address' WHEN addr_sort >= 0.80 AND name_sort < 0.40 THEN 'same_address_diff_business'
+  WHEN {_DOORS} AND name_sort >= 0.70 THEN 'address_number_conflict' WHEN {_SHORT} THEN 'abbreviation_collision' ELSE 'generic_name_collision' END AS category FROM measured WHERE jaccard_score >= 0.6::double AND label = 0
+  UNION ALL SELECT 'false_negative', CASE WHEN s1_norm_name = '' OR t_norm_name = '' THEN 'missing_name' WHEN s1_norm_addr = '' OR t_norm_addr = '' THEN 'missing_address' WHEN name_sort < 0.50 THEN 'trade_name_or_transliteration'
+  WHEN name_sort < 0.75 THEN 'severe_typo_or_abbrev' ELSE 'address_variation' END FROM measured WHERE jaccard_score < 0.6::double AND label = 1)"""
+
+
+@add("er_error_categories", sql.query("SELECT error, category, count(*) AS n FROM errors GROUP BY ALL", *MEASURED, _ERRORS))
 def _errors(fx: Fixture) -> DataFrame:
     m = measures(name=("token_sort", F.col("s1_norm_name"), F.col("t_norm_name")), addr=("token_sort", F.col("s1_norm_addr"), F.col("t_norm_addr")))
     pairs = _labelled(fx).withColumn("m", m).withColumn("positive", F.col("jaccard_score") >= 0.6)
@@ -256,8 +286,23 @@ _BUILTIN_SQL = "SELECT s1_id, target_id, " + ", ".join(f"round(({v})::double, 9)
 add("er_features_builtin", sql.query(_BUILTIN_SQL, *TOPK))(_builtin)
 add("er_features_builtin_docs", sql.query(_BUILTIN_SQL, *TOPK, docs=True), docs=True)(_builtin)
 add("er_features_14", docs=True)(lambda fx: features.features(_topk(fx), features.FEATURES_14))
-add("er_features_24")(lambda fx: features.features(_topk(fx), features.FEATURES_24))
-add("er_features_30", docs=True)(lambda fx: features.features(_topk(fx), features.FEATURES_30))
+_DIGITS = r"list_distinct(list_filter(regexp_split_to_array({}, '\s+'), lambda w: regexp_full_match(w, '[0-9]+')))"
+_FEATURES = BUILTIN | {
+    "name_token_sort_ratio": "name_sort", "name_token_set_ratio": "name_set", "name_char_sim": "name_ratio", "name_jaro_winkler": "CASE WHEN s1_norm_name = '' AND t_norm_name = '' THEN 1 ELSE jaro_winkler_similarity(s1_norm_name, t_norm_name) END",
+    "addr_token_sort_ratio": "addr_sort", "addr_token_set_ratio": "addr_set", "addr_char_sim": "addr_ratio", "addr_num_overlap": _set_sql(_DIGITS, "0.5"),
+    "name_x_addr": "name_sort * addr_sort", "name_diff_addr": "abs(name_sort - addr_sort)", "name_addr_composite": "0.7::double * name_sort + 0.3::double * addr_sort",
+}
+
+
+def _features(names: tuple[str, ...]) -> tuple[str, Callable[[Fixture], DataFrame]]:
+    """SQL and function of a feature set, to 6 decimals."""
+    made = ", ".join(f"round(({_FEATURES[n]})::double, 6) AS f_{n}" for n in names)
+    return f"SELECT s1_id, target_id, {made} FROM measured", lambda fx: features.features(_topk(fx), names).select("s1_id", "target_id", *[F.round(f"f_{n}", 6).alias(f"f_{n}") for n in names])
+
+
+for _name, _set, _docs in (("er_features_24", features.FEATURES_24, False), ("er_features_30", features.FEATURES_30, True)):
+    _select, _made = _features(_set)
+    add(_name, sql.query(_select, *TOPK, sql.measured("topk", sets=True), docs=_docs), docs=_docs)(_made)
 add("er_feature_summary", docs=True)(lambda fx: features.describe(features.features(_topk(fx))))
 add("er_feature_correlations", docs=True)(lambda fx: features.correlated(features.features(_topk(fx))))
 
@@ -292,7 +337,23 @@ vocabulary AS (SELECT country, gram, ln((1 + everyone) / (1 + df)) + 1 AS idf FR
 unit AS (SELECT entity_id, country, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM (SELECT entity_id, country, gram, tf * idf AS w FROM tf JOIN vocabulary USING (country, gram))),
 cosine AS (SELECT a.entity_id AS s1_id, b.entity_id AS target_id, round(sum(a.w * b.w), 9) AS score FROM unit a JOIN unit b USING (country, gram) WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' GROUP BY ALL)"""
 add("er_ngram_candidates", sql.query("SELECT s1_id, target_id, round(score, 6) AS ngram_score FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) AS n FROM cosine WHERE score > 0.05) WHERE n <= 30", NGRAMS))(lambda fx: retrieval.ngram_candidates(*_st(fx)).withColumn("ngram_score", F.round("ngram_score", 6)))
-add("er_strategy_comparison")(lambda fx: matching.compare_strategies(*_st(fx), fx.links))
+_RANKED_GRAMS = "ngrams AS (SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) AS n FROM cosine WHERE score > 0.05) WHERE n <= 30)"
+_HITS = ", ".join(f"count(*) FILTER (candidate_rank <= {k}) AS hits_{k}, coalesce(count(*) FILTER (candidate_rank <= {k}) / nullif(count(*), 0), 0)::double AS recall_{k}" for k in (10, 25, 50))
+_COMPARED = " UNION ALL ".join(f"""SELECT '{n}' AS strategy, (SELECT count(*) FROM topk_{n}) AS rows, (SELECT count(DISTINCT s1_id) FROM topk_{n}) AS entities,
+  (SELECT n FROM (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i FROM (SELECT count(*) AS n FROM topk_{n} GROUP BY s1_id)) WHERE i = floor((SELECT count(DISTINCT s1_id) FROM topk_{n}) * 0.95::double)) AS value,
+  count(*) AS links, {_HITS} FROM links l LEFT JOIN topk_{n} k ON l.s1_id = k.s1_id AND l.target_id = k.target_id""" for n in blocking.DEPTHS)
+add("er_strategy_comparison", sql.query(_COMPARED, NGRAMS, _RANKED_GRAMS, *sql.strategies(blocking.DEPTHS, blocking.STRATEGIES)))(lambda fx: matching.compare_strategies(*_st(fx), fx.links))
+
+# Semi-joins with lists, inequalities after a join
+
+add("er_listed_targets", sql.query("SELECT entity_id, business_name FROM rec WHERE entity_id IN (SELECT target_id FROM links)"))(lambda fx: fx.targets.join(fx.links.select(F.col("target_id").alias("entity_id")), "entity_id", "left_semi").select("entity_id", "business_name"))
+
+
+@add("er_same_name_other_address", sql.query("SELECT s.entity_id AS s1_id, t.entity_id AS target_id FROM s JOIN t ON s.country = t.country AND s.p1 = t.p1 AND s.p2 = t.p2 WHERE s.norm_addr <> t.norm_addr"))
+def _other_address(fx: Fixture) -> DataFrame:
+    side = lambda df, i, a: df.select(F.col("entity_id").alias(i), "country", "p1", "p2", F.col("norm_addr").alias(a))
+    s, t = _st(fx)
+    return side(s, "s1_id", "here").join(side(t, "target_id", "there"), ["country", "p1", "p2"]).filter("here <> there").select("s1_id", "target_id")
 
 # Audits and checks
 

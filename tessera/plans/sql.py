@@ -101,6 +101,64 @@ topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY
 LABELLED = "labelled AS (SELECT k.*, CASE WHEN l.target_id IS NOT NULL THEN 1 ELSE 0 END AS label FROM topk k LEFT JOIN links l ON k.s1_id = l.s1_id AND k.target_id = l.target_id)"
 
 
+def _listed(c: str) -> str:
+    return rf"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
+
+
+def common(a: str, b: str) -> str:
+    """Length of the longest common subsequence: a line of its table for each character of a, from where that stands in b."""
+    there = f"list_transform(string_split({a}, ''), lambda c: list_transform(range(1, length({b}) + 1), lambda j: CASE WHEN instr(reverse(substr({b}, 1, j)), c) = 0 THEN 0 ELSE j + 1 - instr(reverse(substr({b}, 1, j)), c) END))"
+    start = f"list_transform(range(1, length({b}) + 1), lambda j: 0::bigint)"
+    step = "list_transform(range(1, len(line) + 1), lambda j: greatest(line[j], CASE p[j] WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE line[p[j] - 1] + 1 END))"
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE list_extract(list_reduce(list_prepend({start}, {there}), lambda line, p: {step}), -1) END)"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN length({a}) + length({b}) = 0 THEN 1::double ELSE 2 * {common(a, b)} / (length({a}) + length({b}))::double END)"
+
+
+def _parts(c: str) -> str:
+    """Of names or addresses: sorted words of both sides, common words, and either side's other words, sorted."""
+    x, y = _listed(f"s1_norm_{c}"), _listed(f"t_norm_{c}")
+    text = lambda words: f"array_to_string(list_sort({words}), ' ')"
+    return ", ".join([
+        f"{text(x)} AS {c}_a", f"{text(y)} AS {c}_b", f"len({x}) = 0 OR len({y}) = 0 AS {c}_none", f"{text(f'list_distinct(list_intersect({x}, {y}))')} AS {c}_both",
+        f"{text(f'list_distinct(list_filter({x}, lambda v: NOT list_contains({y}, v)))')} AS {c}_one", f"{text(f'list_distinct(list_filter({y}, lambda v: NOT list_contains({x}, v)))')} AS {c}_other",
+    ])
+
+
+def _token_set(c: str) -> str:
+    both, one, other = (f"length({c}_{part})" for part in ("both", "one", "other"))
+    gap = f"({both} > 0)::int"
+    left, right = f"({both} + {gap} + {one})", f"({both} + {gap} + {other})"
+    best = f"1 - ({one} + {other} - 2 * {common(f'{c}_one', f'{c}_other')}) / ({left} + {right})::double"
+    raised = f"greatest({best}, 1 - ({gap} + {one}) / ({both} + {left})::double, 1 - ({gap} + {other}) / ({both} + {right})::double)"
+    return f"CASE WHEN {c}_none THEN 0 WHEN {both} > 0 AND ({one} = 0 OR {other} = 0) THEN 1 WHEN {both} > 0 THEN {raised} ELSE {best} END"
+
+
+def measured(of: str, sets: bool = False) -> str:
+    """Rows of a top-K list with token sort ratios and, if asked for, token set ratios and ratios."""
+    more = [f"({_token_set(c)})::double AS {c}_set, {ratio(f's1_norm_{c}', f't_norm_{c}')} AS {c}_ratio" for c in ("name", "addr")] if sets else []
+    every = ", ".join(["*", *(f"{ratio(f'{c}_a', f'{c}_b')} AS {c}_sort" for c in ("name", "addr")), *more])
+    return f"measured AS (SELECT {every} FROM (SELECT *, {_parts('name')}, {_parts('addr')} FROM {of}))"
+
+
+def strategies(depths: dict[str, tuple[str, int]], named: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    """topk_A, topk_B, ...: the list of each compared strategy. E adds `ngrams` to its passes, F those and three address passes."""
+    out = []
+    for n, (plain, k) in depths.items():
+        out.append(passes(named[plain]).replace("found AS", f"found_{n} AS", 1))
+        every = f"SELECT s1_id, target_id, count(*) AS pass_count FROM found_{n} GROUP BY ALL"
+        if n in ("E", "F"):
+            every += " UNION ALL SELECT s1_id, target_id, 1 FROM ngrams"
+        if n == "F":
+            out.append(passes(("F1", "F2", "F3")).replace("found AS", "more_F AS", 1))
+            every += " UNION ALL SELECT s1_id, target_id, 1 FROM more_F"
+        out.append(f"pairs_{n} AS (SELECT s1_id, target_id, max(pass_count) AS pass_count FROM ({every}) GROUP BY ALL)")
+        out.append(topk(k).replace("scored AS", f"scored_{n} AS").replace("topk AS", f"topk_{n} AS").replace("FROM pairs c", f"FROM pairs_{n} c").replace("FROM scored)", f"FROM scored_{n})"))
+    return tuple(out)
+
+
 def query(select: str, *ctes: str, docs: bool = False, audit: bool = False) -> str:
     """A query over the part or document records and further common table expressions."""
     return "WITH " + ",\n".join([DOCS_SQL if docs else PART_SQL, AUDIT_PREP if audit else PREP, SIDES, LINKS, TRUTH, *ctes]) + "\n" + select

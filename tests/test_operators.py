@@ -38,6 +38,10 @@ def test_one_join_equals_union_of_joins(sides, strategy):
     assert rows(blocking.candidates(s, t, strategy)) == rows(every.groupBy("s1_id", "target_id").agg(F.count("*").alias("pass_count")))
 
 
+def test_depths_of_compared_strategies():
+    assert {n: (len(blocking.STRATEGIES[p]), k) for n, (p, k) in blocking.DEPTHS.items()} == {"A": (8, 25), "B": (8, 50), "C": (8, 100), "D": (12, 50), "E": (12, 50), "F": (12, 50)}
+
+
 def test_partitions_dont_matter(sides):
     s, t = sides
     assert rows(blocking.candidates(s.repartition(7), t.repartition(2))) == rows(blocking.candidates(s, t))
@@ -92,6 +96,20 @@ def test_split_and_sample(part):
     assert ranking.sample(part.records, 10**6).count() == part.records.count()
 
 
+def test_ranks_and_first_rows(spark):
+    """Against sorting everything in one place, with strata and keys that are null and ties."""
+    df = spark.createDataFrame([(f"e{i}", [None, "a", "b"][i % 3], i % 7) for i in range(300)], "entity_id string, s string, x int")
+    got = {r["entity_id"]: (r["_rank"], r["_of"]) for r in ranking.digest_rank(df.repartition(5), [F.col("s")], F.md5("entity_id")).collect()}
+    import hashlib
+
+    for s in (None, "a", "b"):
+        order = sorted((r["entity_id"] for r in df.filter(F.col("s").eqNullSafe(F.lit(s))).collect()), key=lambda e: hashlib.md5(e.encode()).hexdigest())
+        assert [got[e] for e in order] == [(i + 1, len(order)) for i in range(len(order))]
+    whole = sorted((r["x"], r["entity_id"]) for r in df.collect())
+    for n in (0, 1, 42, 43, 44, 299, 300, 301):
+        assert sorted((r["x"], r["entity_id"]) for r in ranking.first_rows(df, n, F.col("x"), ["x", "entity_id"]).collect()) == whole[:n]
+
+
 def test_checks_raise(spark, part, sides):
     s, t = sides
     with pytest.raises(ValueError, match="duplicates"):
