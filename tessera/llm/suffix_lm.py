@@ -2,15 +2,16 @@
 
 A text is read as its words (ASCII letters in lower case) joined by one blank, byte by byte, with an end symbol. All
 windows of DEPTH context bytes and the next byte are counted over the training texts. A context is a candidate if it
-has at least MIN_SHARE of all windows; it is retained if its next-byte distribution diverges from that of its suffix
-one byte shorter (their Kullback-Leibler divergence, weighted by the context's count, exceeds GAIN nats for each
-different next byte), or if a longer retained context ends in it. Distributions are smoothed towards the suffix's with
-the Witten-Bell weight. A byte is scored in the state of the longest retained suffix of what comes before it.
+stands MIN_COUNT times at least, in a corpus of any size; it is retained if its next-byte distribution diverges from
+that of its suffix one byte shorter (their Kullback-Leibler divergence, weighted by the context's count, exceeds GAIN
+nats for each different next byte), or if a longer retained context ends in it. Distributions are smoothed towards the
+suffix's with the Witten-Bell weight. A byte is scored in the state of the longest retained suffix of what comes
+before it.
 
-MIN_SHARE bounds the model: at most 1 / MIN_SHARE contexts of each length, however large the corpus. The tree is sent
-to the executors as an automaton over the retained contexts and their prefixes. Word counts, for the unigram base
-score, have no such bound: words with at least HEAVY_SHARE of all tokens (at most 1 / HEAVY_SHARE) are sent along, and
-rarer ones are joined by hash.
+The tree grows with the corpus and is a table: levels are aggregated, smoothed and tested by shuffles of different
+windows. It is sent to the executors in parts of PART_ROWS rows, each a range of windows and scored in a pass of its
+own. Words with at least HEAVY_SHARE of all tokens (at most 1 / HEAVY_SHARE) are sent along for the unigram base
+score, and rarer ones are joined by hash.
 
 Words are told apart by 64-bit hashes. Counts are sums of whole numbers and the rest is computed in a fixed order, so
 reruns agree.
@@ -28,22 +29,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import documents, store
+from tessera.llm.common import discard, documents, store
 
 DEPTH = 6
-MIN_SHARE = 5e-6
+MIN_COUNT = 2
 GAIN = 1.0
 HEAVY_SHARE = 1e-6
 ADD = 0.1
 END = 255
 """The end symbol, and what comes before a text; no UTF-8 text has this byte."""
 SYMBOLS = 257
-SEGMENT = 512
-BLOCK = 1 << 14
+PART_ROWS = 2 << 20
+"""Rows of the tree that are sent at once, some 12 bytes each."""
 FLUSH = 1 << 20
 """Windows or words a task gathers, at least, before it merges them with those it has."""
 HOLD = 2 << 20
@@ -192,124 +193,144 @@ def count_corpus(training: DataFrame, text: str = "text", depth: int = DEPTH) ->
     return store(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-@dataclass
-class Tree:
-    """The automaton. symbol: the class of a byte; follow and log10p: next state and log10 probability by state and class.
+def _shorter(key: Column) -> Column:
+    """The key of the same next byte after the context without its earliest byte."""
+    return F.shiftleft(F.shiftright(key, 16), 8).bitwiseOR(key.bitwiseAND(F.lit(255)))
+
+
+def _level(counts: DataFrame, before: DataFrame, min_count: int, gain: float) -> DataFrame:
+    """(key, p, rest, own) of the candidates in `counts`, whose suffixes' are in `before`; own: the divergence test.
 
-    A state is the place in these of its first class.
+    A suffix, the contexts one byte longer and their next bytes, at most 256 * 257 rows, meet in one task; so one
+    shuffle serves the smoothing and the test.
     """
+    byte = F.col("key").bitwiseAND(F.lit(255)).alias("byte")
+    none = F.lit(None)
+    longer = counts.select(F.shiftright("key", 16).alias("suffix"), F.shiftright("key", 8).alias("context"), byte, "n", none.cast("double").alias("p"))
+    shorter = before.select(F.shiftright("key", 8).alias("suffix"), none.cast("long").alias("context"), byte, none.cast("long").alias("n"), "p")
+    own = Window.partitionBy("suffix", "context").orderBy("byte").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = longer.unionByName(shorter).repartition("suffix")
+    rows = rows.withColumn("before", F.max("p").over(Window.partitionBy("suffix", "byte"))).filter("context is not null")
+    rows = rows.withColumn("all", F.sum("n").over(own)).withColumn("kinds", F.count("byte").over(own)).filter(F.col("all") >= min_count)
+    p = (F.col("n") + F.col("kinds") * F.col("before")) / (F.col("all") + F.col("kinds"))
+    rows = rows.withColumn("p", p).withColumn("diverges", F.sum(F.col("n") * F.log(F.col("p") / F.col("before"))).over(own) > F.col("kinds") * gain)
+    key = F.shiftleft("context", 8).bitwiseOR(F.col("byte")).alias("key")
+    return rows.select(key, "p", (F.col("kinds") / (F.col("all") + F.col("kinds"))).alias("rest"), F.col("diverges").alias("own"))
+
+
+def learn_tree(counted: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, gain: float = GAIN) -> DataFrame:
+    """The tree from count_corpus(), as a stored table: a row for each next byte seen after a retained context.
+
+    k: the context's length; key: the context and the byte; log_p: the byte's log10 probability; log_rest: that of all
+    bytes not seen there; low and high: the least and the greatest window that ends in the context. Sorted by low.
+    """
+    levels = {depth: counted.filter("kind = 1").select("key", "n")}
+    for k in range(depth - 1, -1, -1):
+        levels[k] = store(levels[k + 1].groupBy(_shorter(F.col("key")).alias("key")).agg(F.sum("n").alias("n")), "level")
+    total = levels[0].agg(F.sum("n")).first()[0] or 0
+    found = [levels[0].select("key", ((F.col("n") + ADD) / (total + ADD * SYMBOLS)).alias("p"), F.lit(1.0).alias("rest"), F.lit(True).alias("own"))]
+    for k in range(1, depth + 1):
+        found.append(store(_level(levels[k], found[-1], min_count, gain), "candidates"))
+    ends = lambda k: F.explode(F.array(*[F.struct(F.lit(j).alias("k"), F.shiftright("key", 8 * (k - j + 1)).alias("context")) for j in range(k + 1)]))
+    places = []
+    rows = []
+    for k, level in enumerate(found):
+        places.append(level.filter("own").select(ends(k).alias("c")).select("c.*"))
+        low = F.shiftleft(F.shiftright("key", 8), 8 * (depth - k + 1))
+        made = [F.lit(k).alias("k"), F.shiftright("key", 8).alias("context"), "key", F.log10("p").cast("float").alias("log_p"), F.log10("rest").cast("float").alias("log_rest")]
+        rows.append(level.select(*made, low.alias("low"), (low + F.lit((1 << (8 * (depth - k + 1))) - 1)).alias("high")))
+    kept, all_rows = places[0], rows[0]
+    for p, r in zip(places[1:], rows[1:], strict=True):
+        kept, all_rows = kept.unionByName(p), all_rows.unionByName(r)
+    tree = all_rows.join(kept.distinct(), ["k", "context"], "left_semi").drop("context")
+    out = store(tree.repartitionByRange("low", "k").sortWithinPartitions("low", "k"), "tree")
+    discard(*(levels[k] for k in range(depth)), *found[1:])
+    out._unseen = math.log10(ADD / (total + ADD * SYMBOLS))
+    out._depth = depth
+    return out
+
+
+@dataclass
+class Part:
+    """What of a tree the windows from `low` up to `high` (exclusive) need. levels: contexts, log_rest, keys and log_p by length."""
 
-    symbol: np.ndarray
-    follow: np.ndarray
-    log10p: np.ndarray
     depth: int
-    contexts: int
-
-
-def grow(order: np.ndarray, key: np.ndarray, n: np.ndarray, depth: int = DEPTH, gain: float = GAIN) -> Tree:
-    """The tree from the candidate contexts: order: context length; key: context (last byte first) and next byte; n: count."""
-    present = np.unique(key[order == 0] & 255)
-    symbol = np.zeros(256, np.int64)
-    symbol[present] = np.arange(1, len(present) + 1)
-    width = len(present) + 1
-    levels, total = [], int(n[order == 0].sum())
-    for k in range(depth + 1):
-        mine = np.flatnonzero(order == k)
-        mine = mine[np.argsort(key[mine])]
-        keys, counts = key[mine], n[mine]
-        first = np.flatnonzero(np.r_[True, (keys[1:] >> 8) != (keys[:-1] >> 8)]) if len(keys) else np.zeros(0, np.int64)
-        kinds = np.diff(np.r_[first, len(keys)])
-        owner = np.repeat(np.arange(len(first)), kinds)
-        sums = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-        if k == 0:
-            p = (counts + ADD) / (total + ADD * SYMBOLS)
-            kept = np.ones(len(first), bool)
-        else:
-            up = levels[-1]
-            at = np.searchsorted(up["keys"], ((keys >> 16) << 8) | (keys & 255))
-            before = up["p"][at]
-            p = (counts + kinds[owner] * before) / (sums + kinds)[owner]
-            kept = np.bincount(owner, counts * np.log(p / before), len(first)) > gain * kinds
-        levels.append({"keys": keys, "p": p, "context": keys[first] >> 8, "owner": owner, "kept": kept, "rest": kinds / np.maximum(sums + kinds, 1)})
-    for k in range(depth, 1, -1):
-        shorter = np.unique(levels[k]["context"][levels[k]["kept"]] >> 8)
-        levels[k - 1]["kept"] |= np.isin(levels[k - 1]["context"], shorter)
-    retained = [x["context"][x["kept"]] for x in levels]
-    # States: retained contexts and what they begin with. A context's beginning leaves out its last bytes, the high ones here.
-    names: list[np.ndarray] = [np.zeros(0, np.int64)] * (depth + 1)
-    for k in range(depth, 0, -1):
-        longer = names[k + 1] & ((1 << (8 * k)) - 1) if k < depth else np.zeros(0, np.int64)
-        names[k] = np.unique(np.concatenate([retained[k], longer]))
-    names[0] = np.zeros(1, np.int64)
-    base = np.cumsum([0, *(len(x) for x in names)])
-    follow = np.zeros((base[-1], width), np.int32)
-    log10p = np.zeros((base[-1], width), np.float32)
-    for k in range(depth + 1):
-        rows = slice(base[k], base[k + 1])
-        if k:
-            link = base[k - 1] + np.searchsorted(names[k - 1], names[k] >> 8)
-            follow[rows], log10p[rows] = follow[link], log10p[link]
-        else:
-            log10p[0] = math.log10(ADD / (total + ADD * SYMBOLS))
-        if k < depth and len(names[k + 1]):
-            last = symbol[names[k + 1] >> (8 * k)]
-            start = base[k] + np.searchsorted(names[k], names[k + 1] & ((1 << (8 * k)) - 1))
-            follow[start, last] = base[k + 1] + np.arange(len(names[k + 1]))
-        x = levels[k]
-        kept = np.flatnonzero(x["kept"])
-        place = base[k] + np.searchsorted(names[k], x["context"][kept])
-        if k:
-            log10p[place] += np.log10(x["rest"][kept])[:, None].astype(np.float32)
-        state = np.full(len(x["kept"]), -1)
-        state[kept] = place
-        state = state[x["owner"]] if len(x["owner"]) else np.zeros(0, np.int64)
-        has = state >= 0
-        log10p[state[has], symbol[x["keys"][has] & 255]] = np.log10(x["p"][has])
-    return Tree(symbol, (follow * width).ravel(), log10p.ravel(), depth, sum(len(x) for x in retained))
-
-
-def learn_tree(counted: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, gain: float = GAIN) -> Tree:
-    """Grow the tree from count_corpus(). Only candidate contexts reach the driver."""
-    seen = counted.filter("kind = 1").select("key", "n")
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    of = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftleft(F.shiftright("key", 8 * (depth - k + 1)), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255))).alias("key")) for k in range(depth + 1)])
-    summed = seen.select(F.explode(of).alias("o"), "n").groupBy("o.k", "o.key").agg(F.sum("n").alias("n"))
-    pair = F.struct(F.col("key").bitwiseAND(F.lit(255)).alias("next"), "n")
-    contexts = summed.groupBy("k", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("all"), F.collect_list(pair).alias("pairs"))
-    contexts = contexts.filter((F.col("all") >= F.lit(max(2, math.ceil(min_share * total)))) | (F.col("k") == 0))
-    flat = contexts.select("k", "context", F.explode("pairs").alias("p")).select("k", F.shiftleft("context", 8).bitwiseOR(F.col("p.next")).alias("key"), "p.n").toArrow()
-    return grow(*(flat.column(c).to_numpy().astype(np.int64) for c in ("k", "key", "n")), depth, gain)
-
-
-def run_tree(tree: Tree, raw: np.ndarray) -> np.ndarray:
-    """log10 probabilities of all bytes, each after the `depth` bytes before it; many segments at once, step by step."""
-    warm = tree.depth
-    n = -(-len(raw) // SEGMENT)
-    padded = np.full(warm + n * SEGMENT, tree.symbol[END], np.int32)
-    padded[warm : warm + len(raw)] = tree.symbol.astype(np.int32)[raw]
-    out = np.empty(n * SEGMENT, np.float32)
-    for low in range(0, n, BLOCK):
-        rows = min(n, low + BLOCK) - low
-        view = np.lib.stride_tricks.as_strided(padded[low * SEGMENT :], (SEGMENT + warm, rows), (4, 4 * SEGMENT))
-        symbols = np.ascontiguousarray(view)
-        state = np.zeros(rows, np.int32)
-        part = np.empty((SEGMENT, rows), np.float32)
-        for step in range(SEGMENT + warm):
-            place = (state + symbols[step]).astype(np.intp)
-            if step >= warm:
-                tree.log10p.take(place, out=part[step - warm], mode="clip")
-            state = tree.follow.take(place, mode="clip")
-        out[low * SEGMENT : low * SEGMENT + part.size] = part.T.ravel()
-    return out[: len(raw)]
+    low: int
+    high: int
+    unseen: float
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    def look_up(self, found: np.ndarray) -> np.ndarray:
+        """log10 probabilities of different windows, ascending: each from the longest retained suffix of its context."""
+        out = np.full(len(found), self.unseen, np.float32)
+        rows = np.arange(len(found))
+        for k, (contexts, rests, keys, logs) in enumerate(self.levels):
+            mine = found[rows]
+            context = mine >> (8 * (self.depth - k + 1))
+            at = np.searchsorted(contexts, context)
+            has = np.append(contexts, -1)[at] == context
+            rows, context, at, mine = rows[has], context[has], at[has], mine[has]
+            if not len(rows):
+                break
+            key = (context << 8) | (mine & 255)
+            place = np.searchsorted(keys, key)
+            seen = np.append(keys, -1)[place] == key
+            out[rows] = np.where(seen, np.append(logs, np.float32(0))[place], out[rows] + rests[at])
+        return out
+
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the windows that are this part's, 0 for others."""
+        out = np.zeros(len(keys), np.float32)
+        for at in range(0, len(keys), FLUSH):
+            found, where = np.unique(keys[at : at + FLUSH], return_inverse=True)
+            first, last = np.searchsorted(found, [self.low, self.high])
+            logs = np.zeros(len(found), np.float32)
+            logs[first:last] = self.look_up(found[first:last])
+            out[at : at + FLUSH] = logs[where]
+        return out
+
+
+def tree_parts(tree: DataFrame, most: int = PART_ROWS) -> Iterator[Part]:
+    """The tree in parts of about `most` rows, by ranges of windows.
+
+    Contexts that windows of several parts end in are in each of these: those on the path to a bound, at most 257 rows
+    for each length and bound.
+    """
+    depth, n = tree._depth, tree.count()
+    pieces = -(-n // most) if n else 1
+    inner = tree.approxQuantile("low", [i / pieces for i in range(1, pieces)], 0.1 / pieces) if pieces > 1 else []
+    bounds = [0, *sorted({int(b) for b in inner} - {0}), 1 << (8 * (depth + 1))]
+    for low, high in zip(bounds, bounds[1:]):
+        rows = tree.filter((F.col("low") < high) & (F.col("high") >= low)).select("k", "key", "log_p", "log_rest").toArrow()
+        k, key, log_p, log_rest = (rows.column(i).to_numpy() for i in range(4))
+        levels = []
+        for length in range(depth + 1):
+            mine = np.flatnonzero(k == length)
+            mine = mine[np.argsort(key[mine])]
+            keys = key[mine].astype(np.int64)
+            first = np.flatnonzero(np.r_[True, (keys[1:] >> 8) != (keys[:-1] >> 8)]) if len(keys) else np.zeros(0, np.int64)
+            levels.append((keys[first] >> 8, log_rest[mine][first].astype(np.float32), keys, log_p[mine].astype(np.float32)))
+        yield Part(depth, low, high, tree._unseen, levels)
 
 
 SCORED = "n_tokens long, heavy_known long, heavy_score double, score double, rare array<long>, rare_n array<long>"
 
 
+def _sums(part: Part, batch: Batch) -> np.ndarray:
+    """Sums by text; each has one window at least."""
+    edges = np.cumsum(batch.scored)[batch.starts + part.depth] - 1
+    return np.add.reduceat(part.score(windows(batch, part.depth)).astype(np.float64), edges)
+
+
+def _score_part(batches: Iterator[pa.RecordBatch], part: Part) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield pa.record_batch([b.column(0), pa.array(_sums(part, Batch.read(b.column(1), part.depth)))], names=["_row", "score"])
+        pa.default_memory_pool().release_unused()
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: tuple, text: int) -> Iterator[pa.RecordBatch]:
-    tree, heavy, heavy_n, z = model
+    part, heavy, heavy_n, z = model
     logs = np.r_[np.log10((heavy_n + ADD) / z), 0.0]
-    uid = TaskContext.get().partitionId() << 33
 
     def place(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each word, and its place among the heavy words, or the place after all of them."""
@@ -321,8 +342,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: tuple, text: int) -> Iterat
     end_hash, end_at = place(pa.array([""]))
     for b in slices(batches):
         n = b.num_rows
-        batch = Batch.read(b.column(text), tree.depth)
-        scores = np.add.reduceat(np.where(batch.scored, run_tree(tree, batch.raw), np.float32(0)).astype(np.float64), batch.starts)
+        batch = Batch.read(b.column(text), part.depth)
+        scores = _sums(part, batch)
         coded = batch.tokens.dictionary_encode()
         hashes, places = place(coded.dictionary)
         codes = coded.indices.to_numpy()
@@ -341,15 +362,15 @@ def _score(batches: Iterator[pa.RecordBatch], model: tuple, text: int) -> Iterat
         lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int64))) for x in (word, times)]
         kept = [i for i in range(b.num_columns) if i != text]
         made = [pa.array(tokens.astype(np.int64)), pa.array(common.astype(np.int64)), pa.array(base), pa.array(scores), *lists]
-        yield pa.record_batch([pa.array(np.arange(uid, uid + n)), *(b.column(i) for i in kept), *made], names=["_row", *(b.schema.names[i] for i in kept), *(x.split()[0] for x in SCORED.split(", "))])
-        uid += n
+        yield pa.record_batch([*(b.column(i) for i in kept), *made], names=[*(b.schema.names[i] for i in kept), *(x.split()[0] for x in SCORED.split(", "))])
         pa.default_memory_pool().release_unused()
 
 
-def score(docs: DataFrame, keep: list[str], counted: DataFrame, tree: Tree, text: str = "text", heavy_share: float = HEAVY_SHARE) -> DataFrame:
+def score(docs: DataFrame, keep: list[str], counted: DataFrame, tree: DataFrame, text: str = "text", heavy_share: float = HEAVY_SHARE, part_rows: int = PART_ROWS) -> DataFrame:
     """The columns `keep` of docs with n_tokens, n_known, train_tokens, base_score and score.
 
-    counted and tree: of count_corpus() and learn_tree().
+    counted and tree: of count_corpus() and learn_tree(). The tree is sent in parts of part_rows, a pass over the texts
+    for each; a text's score is the sum of what the passes give, in their order.
     """
     spark = docs.sparkSession
     words = counted.filter("kind = 0").select("key", "n")
@@ -359,14 +380,31 @@ def score(docs: DataFrame, keep: list[str], counted: DataFrame, tree: Tree, text
     heavy = words.filter(F.col("n") >= least).toArrow()
     keys = heavy.column("key").to_numpy().astype(np.int64)
     order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((tree, keys[order], heavy.column("n").to_numpy().astype(np.int64)[order], z))
+    keys, counts = keys[order], heavy.column("n").to_numpy().astype(np.int64)[order]
+    given = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, text)
     fields = ", ".join(["_row long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCORED])
-    rows = store(docs.select(*keep, text).mapInArrow(lambda it: _score(it, sent.value, len(keep)), fields), "scored")
+    rows, more = None, []
+    if tree.count() > part_rows:  # several passes must agree on the rows' numbers
+        given = store(given, "numbered")
+    for part in tree_parts(tree, part_rows):
+        if rows is None:
+            sent = spark.sparkContext.broadcast((part, keys, counts, z))
+            rows = store(given.mapInArrow(lambda it, s=sent: _score(it, s.value, len(keep) + 1), fields), "scored")
+        else:
+            sent = spark.sparkContext.broadcast(part)
+            more.append(store(given.select("_row", text).mapInArrow(lambda it, s=sent: _score_part(it, s.value), "_row long, score double"), "scored"))
+        sent.destroy()
     rare = rows.select("_row", F.explode(F.arrays_zip(F.col("rare").alias("key"), F.col("rare_n").alias("times"))).alias("w")).select("_row", "w.key", "w.times")
     light = words.filter(F.col("n") < least)
     n = F.coalesce(F.col("n"), F.lit(0))
     sums = rare.join(light, "key", "left").groupBy("_row").agg(F.sum(F.col("times") * F.log10((n + ADD) / z)).alias("s"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("k"))
     out = rows.join(sums, "_row", "left")
+    if more:
+        passes = more[0].withColumn("pass", F.lit(1))
+        for i, m in enumerate(more[1:], 2):
+            passes = passes.unionByName(m.withColumn("pass", F.lit(i)))
+        rest = passes.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pass", "score"))).alias("passes"))
+        out = out.join(rest, "_row").withColumn("score", F.aggregate("passes", F.col("score"), lambda x, y: x + y["score"]))
     return out.select(
         *keep, "n_tokens", (F.col("heavy_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("heavy_score") + F.coalesce("s", F.lit(0.0))).alias("base_score"), "score",

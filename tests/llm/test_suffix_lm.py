@@ -31,20 +31,22 @@ def plain_tree(texts, depth, least, gain):
     return p, kept
 
 
-@pytest.mark.parametrize("depth", [6])
-def test_tree_against_plain(spark, depth):
+@pytest.mark.parametrize(("least", "most"), [(5, 1 << 20), (2, 1 << 20), (2, 500)])
+def test_tree_against_plain(spark, least, most):
+    depth = S.DEPTH
     texts = [prose(40, i) for i in range(30)] + ["the cat sat on the mat " * 20, "", "Été été\tÉTÉ"]
     docs = documents(spark, list(enumerate(texts)))
     counted = S.count_corpus(docs.repartition(3))
-    share = 5 / counted.filter("kind = 1").groupBy().sum("n").first()[0]
-    tree = S.learn_tree(counted, min_share=share, gain=1.0)
-    p, kept = plain_tree(texts, depth, 5, 1.0)
-    assert tree.contexts == len(kept)
+    tree = S.learn_tree(counted, min_count=least, gain=1.0)
+    p, kept = plain_tree(texts, depth, least, 1.0)
+    assert tree.selectExpr("k", "key >> 8").distinct().count() == len(kept)
+    parts = list(S.tree_parts(tree, most))
+    assert (len(parts) > 3) == (most < 10_000)
     for t in [texts[0], "the mat", "unseen zebra 中", "", texts[-2] + "x"]:
         import pyarrow as pa
 
         b = S.Batch.read(pa.array([t]), depth)
-        got = float(np.where(b.scored, S.run_tree(tree, b.raw), 0).astype(float).sum())
+        got = sum(float(x.score(S.windows(b, depth)).astype(float).sum()) for x in parts)
         s = bytes([S.END]) * depth + b" ".join(t.encode().lower().split()) + bytes([S.END])
         want = 0.0
         for i in range(depth, len(s)):
@@ -65,10 +67,32 @@ def test_slices_read_all_words(monkeypatch):
 
 def test_distributions_sum_to_one(spark):
     docs = documents(spark, [(i, prose(50, i)) for i in range(20)])
-    tree = S.learn_tree(S.count_corpus(docs), min_share=1e-4)
-    width = int(tree.symbol.max()) + 1
-    p = 10.0 ** tree.log10p.reshape(-1, width).astype(float)
-    assert p[:, 1:].sum(1) + p[:, 0] * (S.SYMBOLS - width + 1) == pytest.approx(np.ones(len(p)), rel=1e-4)
+    (part,) = S.tree_parts(S.learn_tree(S.count_corpus(docs)))
+    deepest = part.levels[-1][0]
+    assert len(deepest)
+    for context in [*deepest[:: max(1, len(deepest) // 50)], 0]:
+        seen = (int(context) << 8) + np.arange(256)
+        # 257 symbols: the last stands for what no text has.
+        p = 10.0 ** part.look_up(seen).astype(float)
+        assert p.sum() == pytest.approx(1, rel=1e-3)
+
+
+def test_tree_grows_with_corpus(spark):
+    def size(n):
+        return S.learn_tree(S.count_corpus(documents(spark, [(i, f"{zlib.crc32(b'%d' % (i // 2)):x} common words") for i in range(n)]))).count()
+
+    assert size(4000) > 5 * size(400)
+
+
+def test_passes_agree(spark):
+    docs = documents(spark, [(i, prose(30, i)) for i in range(40)] + [(None, None), (7, ""), (7, "a b")])
+    counted = S.count_corpus(docs)
+    tree = S.learn_tree(counted)
+    one, many = (sorted(map(tuple, S.score(docs, ["doc_id"], counted, tree, part_rows=n).fillna(-1).collect())) for n in (1 << 20, 400))
+    assert len(one) == 43
+    for a, b in zip(one, many, strict=True):
+        assert a[:5] == b[:5]
+        assert a[5] == pytest.approx(b[5], rel=1e-5)
 
 
 def test_base_and_gain(spark, data):
