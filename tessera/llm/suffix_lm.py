@@ -167,7 +167,10 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
     def settle() -> None:
         nonlocal held
         if loose:
-            counters[1].add(*np.unique(np.concatenate(loose), return_counts=True))
+            times = pa.array(np.concatenate(loose)).value_counts()
+            keys, counts = times.field(0).to_numpy(), times.field(1).to_numpy()
+            order = np.argsort(keys)
+            counters[1].add(keys[order], counts[order])
             loose.clear()
             held = 0
 
@@ -231,20 +234,21 @@ def learn_tree(counted: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUN
     found = [levels[0].select("key", ((F.col("n") + ADD) / (total + ADD * SYMBOLS)).alias("p"), F.lit(1.0).alias("rest"), F.lit(True).alias("own"))]
     for k in range(1, depth + 1):
         found.append(store(_level(levels[k], found[-1], min_count, gain), "candidates"))
-    ends = lambda k: F.explode(F.array(*[F.struct(F.lit(j).alias("k"), F.shiftright("key", 8 * (k - j + 1)).alias("context")) for j in range(k + 1)]))
-    places = []
-    rows = []
-    for k, level in enumerate(found):
-        places.append(level.filter("own").select(ends(k).alias("c")).select("c.*"))
+    kept, rows = [], []
+    for k in range(depth, -1, -1):
+        level = found[k]
+        ends = level.filter("own").select(F.shiftright("key", 8).alias("context"))
+        if kept:
+            ends = ends.unionByName(kept[-1].select(F.shiftright("context", 8).alias("context")))
+        kept.append(store(ends.distinct(), "kept"))
         low = F.shiftleft(F.shiftright("key", 8), 8 * (depth - k + 1))
         made = [F.lit(k).alias("k"), F.shiftright("key", 8).alias("context"), "key", F.log10("p").cast("float").alias("log_p"), F.log10("rest").cast("float").alias("log_rest")]
-        rows.append(level.select(*made, low.alias("low"), (low + F.lit((1 << (8 * (depth - k + 1))) - 1)).alias("high")))
-    kept, all_rows = places[0], rows[0]
-    for p, r in zip(places[1:], rows[1:], strict=True):
-        kept, all_rows = kept.unionByName(p), all_rows.unionByName(r)
-    tree = all_rows.join(kept.distinct(), ["k", "context"], "left_semi").drop("context")
+        rows.append(level.select(*made, low.alias("low"), (low + F.lit((1 << (8 * (depth - k + 1))) - 1)).alias("high")).join(kept[-1], "context", "left_semi").drop("context"))
+    tree = rows[0]
+    for r in rows[1:]:
+        tree = tree.unionByName(r)
     out = store(tree.repartitionByRange("low", "k").sortWithinPartitions("low", "k"), "tree")
-    discard(*(levels[k] for k in range(depth)), *found[1:])
+    discard(*(levels[k] for k in range(depth)), *found[1:], *kept)
     out._unseen = math.log10(ADD / (total + ADD * SYMBOLS))
     out._depth = depth
     return out
@@ -262,31 +266,34 @@ class Part:
 
     def look_up(self, found: np.ndarray) -> np.ndarray:
         """log10 probabilities of different windows, ascending: each from the longest retained suffix of its context."""
-        out = np.full(len(found), self.unseen, np.float32)
+        out = np.zeros(len(found), np.float32)
         rows = np.arange(len(found))
-        for k, (contexts, rests, keys, logs) in enumerate(self.levels):
+        for k in range(self.depth, -1, -1):
+            contexts, rests, keys, logs = self.levels[k]
             mine = found[rows]
-            context = mine >> (8 * (self.depth - k + 1))
-            at = np.searchsorted(contexts, context)
-            has = np.append(contexts, -1)[at] == context
-            rows, context, at, mine = rows[has], context[has], at[has], mine[has]
-            if not len(rows):
-                break
-            key = (context << 8) | (mine & 255)
-            place = np.searchsorted(keys, key)
-            seen = np.append(keys, -1)[place] == key
-            out[rows] = np.where(seen, np.append(logs, np.float32(0))[place], out[rows] + rests[at])
+            key = ((mine >> (8 * (self.depth - k + 1))) << 8) | (mine & 255)
+            at = np.searchsorted(keys, key)
+            seen = np.append(keys, -1)[at] == key
+            out[rows[seen]] += logs[at[seen]]
+            rows, context = rows[~seen], key[~seen] >> 8
+            if k:  # a retained context that hasn't the byte leaves it to its suffix, which is retained too
+                at = np.searchsorted(contexts, context)
+                has = np.append(contexts, -1)[at] == context
+                out[rows[has]] += rests[at[has]]
+        out[rows] += self.unseen
         return out
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 probabilities of the windows that are this part's, 0 for others."""
         out = np.zeros(len(keys), np.float32)
         for at in range(0, len(keys), FLUSH):
-            found, where = np.unique(keys[at : at + FLUSH], return_inverse=True)
-            first, last = np.searchsorted(found, [self.low, self.high])
+            coded = pa.array(keys[at : at + FLUSH]).dictionary_encode()
+            found = coded.dictionary.to_numpy()
+            mine = np.flatnonzero((found >= self.low) & (found < self.high))
+            mine = mine[np.argsort(found[mine])]
             logs = np.zeros(len(found), np.float32)
-            logs[first:last] = self.look_up(found[first:last])
-            out[at : at + FLUSH] = logs[where]
+            logs[mine] = self.look_up(found[mine])
+            out[at : at + FLUSH] = logs[coded.indices.to_numpy()]
         return out
 
 
@@ -301,15 +308,19 @@ def tree_parts(tree: DataFrame, most: int = PART_ROWS) -> Iterator[Part]:
     inner = tree.approxQuantile("low", [i / pieces for i in range(1, pieces)], 0.1 / pieces) if pieces > 1 else []
     bounds = [0, *sorted({int(b) for b in inner} - {0}), 1 << (8 * (depth + 1))]
     for low, high in zip(bounds, bounds[1:]):
-        rows = tree.filter((F.col("low") < high) & (F.col("high") >= low)).select("k", "key", "log_p", "log_rest").toArrow()
-        k, key, log_p, log_rest = (rows.column(i).to_numpy() for i in range(4))
+        rows = tree.filter((F.col("low") < high) & (F.col("high") >= low)).select(F.shiftleft(F.col("k").cast("long"), 56).bitwiseOR(F.col("key")).alias("key"), "log_p", "log_rest").toArrow()
+        key, log_p, log_rest = (rows.column(i).to_numpy() for i in range(3))
+        del rows
+        order = np.argsort(key)
+        key, log_p, log_rest = key[order], log_p[order], log_rest[order]
+        edges = np.searchsorted(key, [k << 56 for k in range(depth + 2)])
         levels = []
-        for length in range(depth + 1):
-            mine = np.flatnonzero(k == length)
-            mine = mine[np.argsort(key[mine])]
-            keys = key[mine].astype(np.int64)
+        for start, end in zip(edges, edges[1:]):
+            keys = key[start:end] & ((1 << 56) - 1)
             first = np.flatnonzero(np.r_[True, (keys[1:] >> 8) != (keys[:-1] >> 8)]) if len(keys) else np.zeros(0, np.int64)
-            levels.append((keys[first] >> 8, log_rest[mine][first].astype(np.float32), keys, log_p[mine].astype(np.float32)))
+            levels.append((keys[first] >> 8, log_rest[start:end][first], keys, log_p[start:end]))
+        del key, log_p, log_rest, order
+        pa.default_memory_pool().release_unused()
         yield Part(depth, low, high, tree._unseen, levels)
 
 
