@@ -43,8 +43,8 @@ ADD = 0.1
 END = 255
 """The end symbol, and what comes before a text; no UTF-8 text has this byte."""
 SYMBOLS = 257
-PART_ROWS = 2 << 20
-"""Rows of the tree that are sent at once, some 12 bytes each."""
+PART_ROWS = 1 << 20
+"""Rows of the tree that are sent at once, some 16 bytes each."""
 FLUSH = 1 << 20
 """Windows or words a task gathers, at least, before it merges them with those it has."""
 HOLD = 2 << 20
@@ -287,13 +287,14 @@ class Part:
         """log10 probabilities of the windows that are this part's, 0 for others."""
         out = np.zeros(len(keys), np.float32)
         for at in range(0, len(keys), FLUSH):
-            coded = pa.array(keys[at : at + FLUSH]).dictionary_encode()
+            some = keys[at : at + FLUSH]
+            mine = np.flatnonzero((some >= self.low) & (some < self.high))
+            coded = pa.array(some[mine]).dictionary_encode()
             found = coded.dictionary.to_numpy()
-            mine = np.flatnonzero((found >= self.low) & (found < self.high))
-            mine = mine[np.argsort(found[mine])]
+            order = np.argsort(found)
             logs = np.zeros(len(found), np.float32)
-            logs[mine] = self.look_up(found[mine])
-            out[at : at + FLUSH] = logs[coded.indices.to_numpy()]
+            logs[order] = self.look_up(found[order])
+            out[at + mine] = logs[coded.indices.to_numpy()]
         return out
 
 
