@@ -1,20 +1,21 @@
 """A language model from a probabilistic suffix tree, and the scoring of texts under it.
 
 A text is read as its words (ASCII letters in lower case) joined by one blank, byte by byte, with an end symbol. All
-windows of DEPTH context bytes and the next byte are counted over the training texts. A context is a candidate if it
-stands MIN_COUNT times at least, in a corpus of any size; it is retained if its next-byte distribution diverges from
-that of its suffix one byte shorter (their Kullback-Leibler divergence, weighted by the context's count, exceeds GAIN
-nats for each different next byte), or if a longer retained context ends in it. Distributions are smoothed towards the
-suffix's with the Witten-Bell weight. A byte is scored in the state of the longest retained suffix of what comes
-before it.
-
-The tree grows with the corpus and is a table: levels are aggregated, smoothed and tested by shuffles of different
-windows. It is sent to the executors in parts of PART_ROWS rows, each a range of windows and scored in a pass of its
-own. Words with at least HEAVY_SHARE of all tokens (at most 1 / HEAVY_SHARE) are sent along for the unigram base
-score, and rarer ones are joined by hash.
-
-Words are told apart by 64-bit hashes. Counts are sums of whole numbers and the rest is computed in a fixed order, so
-reruns agree.
+windows of DEPTH context bytes and the next byte are counted over the training texts; windows of texts that are only
+scored count 0. A context is a candidate if it stands MIN_COUNT times at least, in a corpus of any size; it is retained
+if its next-byte distribution diverges from that of its suffix one byte shorter (their Kullback-Leibler divergence,
+weighted by the context's count, exceeds GAIN nats for each different next byte), or if a longer retained context ends
+in it. Distributions are smoothed towards the suffix's with the Witten-Bell weight. A byte is scored in the state of
+the longest retained suffix of what comes before it.
+
+The tree grows with the corpus and is a table: levels are aggregated, smoothed, tested and looked up by shuffles of
+different windows, which ends in the probability of each. Texts are read twice, once to count and once to score,
+whatever the tree's size: the windows that stand most often, SENT_WINDOWS at most, are sent to the executors, and a
+text's others are joined. So it is with words for the unigram base score: those with at least HEAVY_SHARE of all
+tokens (at most 1 / HEAVY_SHARE) are sent, and rarer ones are joined by hash.
+
+Words are told apart by 64-bit hashes. Counts are sums of whole numbers, what is joined is summed in whole units of
+1 / UNIT, and the rest is computed in a fixed order, so reruns agree.
 
 Edge cases: a null or empty text is the end symbol alone; with nothing to learn from, all bytes are equally likely;
 texts that repeat count as often; a null doc_id counts as not held out; an empty table gives an empty result.
@@ -43,8 +44,11 @@ ADD = 0.1
 END = 255
 """The end symbol, and what comes before a text; no UTF-8 text has this byte."""
 SYMBOLS = 257
-PART_ROWS = 1 << 20
-"""Rows of the tree that are sent at once, some 16 bytes each."""
+SENT_WINDOWS = 1 << 21
+"""Windows whose probabilities are sent, at most; 12 bytes each."""
+FETCH = 1 << 19
+"""How many of them the driver takes at once, about."""
+UNIT = 1 << 30
 FLUSH = 1 << 20
 """Windows or words a task gathers, at least, before it merges them with those it has."""
 HOLD = 2 << 20
@@ -154,7 +158,7 @@ class _Counter:
 
 def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     counters = (_Counter(), _Counter())
-    loose: list[np.ndarray] = []
+    loose: tuple[list[np.ndarray], ...] = ([], [])
     held = 0
 
     def rows(least: int) -> Iterator[pa.RecordBatch]:
@@ -166,22 +170,28 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
 
     def settle() -> None:
         nonlocal held
-        if loose:
-            times = pa.array(np.concatenate(loose)).value_counts()
-            keys, counts = times.field(0).to_numpy(), times.field(1).to_numpy()
-            order = np.argsort(keys)
-            counters[1].add(keys[order], counts[order])
-            loose.clear()
-            held = 0
+        for weight, found in enumerate(loose):
+            if found:
+                times = pa.array(np.concatenate(found)).value_counts()
+                keys, counts = times.field(0).to_numpy(), times.field(1).to_numpy()
+                order = np.argsort(keys)
+                counters[1].add(keys[order], counts[order] * weight)
+                found.clear()
+        held = 0
 
     for b in slices(batches):
-        batch = Batch.read(b.column(0), depth)
-        times = batch.tokens.value_counts()
-        keys = np.r_[_hash(times.field(0)), _hash(pa.array([""]))]
-        order = np.argsort(keys)
-        counters[0].add(keys[order], np.r_[times.field(1).to_numpy(), b.num_rows][order])
-        loose.append(windows(batch, depth))
-        held += len(loose[-1])
+        for weight, rows_of in enumerate((pc.invert(b.column(1)), b.column(1))):
+            texts = b.column(0).filter(rows_of)
+            if not len(texts):
+                continue
+            batch = Batch.read(texts, depth)
+            if weight:
+                times = batch.tokens.value_counts()
+                keys = np.r_[_hash(times.field(0)), _hash(pa.array([""]))]
+                order = np.argsort(keys)
+                counters[0].add(keys[order], np.r_[times.field(1).to_numpy(), len(texts)][order])
+            loose[weight].append(windows(batch, depth))
+            held += len(loose[weight][-1])
         if held >= FLUSH:
             settle()
         yield from rows(HOLD)
@@ -190,9 +200,13 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
     yield from rows(0)
 
 
-def count_corpus(training: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): counts of words (kind 0, by hash; the end token is the empty word) and of windows (kind 1)."""
-    partial = training.select(text).mapInArrow(lambda it: _count(it, depth), "kind byte, key long, n long")
+def count_corpus(docs: DataFrame, text: str = "text", depth: int = DEPTH, training: Column | None = None) -> DataFrame:
+    """(kind, key, n): counts of words (kind 0, by hash; the end token is the empty word) and of windows (kind 1).
+
+    Only texts where `training` holds count (None: all). Windows that only the others have get rows too, with n 0.
+    """
+    learns = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
+    partial = docs.select(text, learns.alias("_learns")).mapInArrow(lambda it: _count(it, depth), "kind byte, key long, n long")
     return store(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
@@ -202,7 +216,7 @@ def _shorter(key: Column) -> Column:
 
 
 def _level(counts: DataFrame, before: DataFrame, min_count: int, gain: float) -> DataFrame:
-    """(key, p, rest, own) of the candidates in `counts`, whose suffixes' are in `before`; own: the divergence test.
+    """(key, n, p, own) of `counts`, whose suffixes' are in `before`; p: null where the context is no candidate; own: the divergence test.
 
     A suffix, the contexts one byte longer and their next bytes, at most 256 * 257 rows, meet in one task; so one
     shuffle serves the smoothing and the test.
@@ -214,212 +228,191 @@ def _level(counts: DataFrame, before: DataFrame, min_count: int, gain: float) ->
     own = Window.partitionBy("suffix", "context").orderBy("byte").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = longer.unionByName(shorter).repartition("suffix")
     rows = rows.withColumn("before", F.max("p").over(Window.partitionBy("suffix", "byte"))).filter("context is not null")
-    rows = rows.withColumn("all", F.sum("n").over(own)).withColumn("kinds", F.count("byte").over(own)).filter(F.col("all") >= min_count)
-    p = (F.col("n") + F.col("kinds") * F.col("before")) / (F.col("all") + F.col("kinds"))
-    rows = rows.withColumn("p", p).withColumn("diverges", F.sum(F.col("n") * F.log(F.col("p") / F.col("before"))).over(own) > F.col("kinds") * gain)
+    rows = rows.withColumn("all", F.sum("n").over(own)).withColumn("kinds", F.count(F.when(F.col("n") > 0, 1)).over(own))
+    p = F.when(F.col("all") >= min_count, (F.col("n") + F.col("kinds") * F.col("before")) / (F.col("all") + F.col("kinds")))
+    diverges = F.sum(F.col("n") * F.log(F.col("p") / F.col("before"))).over(own) > F.col("kinds") * gain
     key = F.shiftleft("context", 8).bitwiseOR(F.col("byte")).alias("key")
-    return rows.select(key, "p", (F.col("kinds") / (F.col("all") + F.col("kinds"))).alias("rest"), F.col("diverges").alias("own"))
+    return rows.withColumn("p", p).select(key, "n", "p", F.coalesce(diverges, F.lit(False)).alias("own"))
 
 
-def learn_tree(counted: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, gain: float = GAIN) -> DataFrame:
-    """The tree from count_corpus(), as a stored table: a row for each next byte seen after a retained context.
+@dataclass
+class Tree:
+    """windows: (key, n, log_p), the log10 probability of each counted window; contexts: (k, context), those retained, by length."""
 
-    k: the context's length; key: the context and the byte; log_p: the byte's log10 probability; log_rest: that of all
-    bytes not seen there; low and high: the least and the greatest window that ends in the context. Sorted by low.
-    """
+    depth: int
+    windows: DataFrame
+    contexts: DataFrame
+
+
+def learn_tree(counted: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, gain: float = GAIN) -> Tree:
+    """The tree from count_corpus(), as stored tables."""
     levels = {depth: counted.filter("kind = 1").select("key", "n")}
     for k in range(depth - 1, -1, -1):
         levels[k] = store(levels[k + 1].groupBy(_shorter(F.col("key")).alias("key")).agg(F.sum("n").alias("n")), "level")
     total = levels[0].agg(F.sum("n")).first()[0] or 0
-    found = [levels[0].select("key", ((F.col("n") + ADD) / (total + ADD * SYMBOLS)).alias("p"), F.lit(1.0).alias("rest"), F.lit(True).alias("own"))]
+    found = [levels[0].select("key", "n", ((F.col("n") + ADD) / (total + ADD * SYMBOLS)).alias("p"), F.lit(True).alias("own"))]
     for k in range(1, depth + 1):
-        found.append(store(_level(levels[k], found[-1], min_count, gain), "candidates"))
-    kept, rows = [], []
-    for k in range(depth, -1, -1):
-        level = found[k]
-        ends = level.filter("own").select(F.shiftright("key", 8).alias("context"))
+        found.append(store(_level(levels[k], found[-1], min_count, gain), "smoothed"))
+    kept: list[DataFrame] = []
+    for k in range(depth, 0, -1):
+        ends = found[k].filter("own").select(F.shiftright("key", 8).alias("context"))
         if kept:
             ends = ends.unionByName(kept[-1].select(F.shiftright("context", 8).alias("context")))
         kept.append(store(ends.distinct(), "kept"))
-        low = F.shiftleft(F.shiftright("key", 8), 8 * (depth - k + 1))
-        made = [F.lit(k).alias("k"), F.shiftright("key", 8).alias("context"), "key", F.log10("p").cast("float").alias("log_p"), F.log10("rest").cast("float").alias("log_rest")]
-        rows.append(level.select(*made, low.alias("low"), (low + F.lit((1 << (8 * (depth - k + 1))) - 1)).alias("high")).join(kept[-1], "context", "left_semi").drop("context"))
-    tree = rows[0]
-    for r in rows[1:]:
-        tree = tree.unionByName(r)
-    out = store(tree.repartitionByRange("low", "k").sortWithinPartitions("low", "k"), "tree")
-    discard(*(levels[k] for k in range(depth)), *found[1:], *kept)
-    out._unseen = math.log10(ADD / (total + ADD * SYMBOLS))
-    out._depth = depth
-    return out
-
-
-@dataclass
-class Part:
-    """What of a tree the windows from `low` up to `high` (exclusive) need. levels: contexts, log_rest, keys and log_p by length."""
-
-    depth: int
-    low: int
-    high: int
-    unseen: float
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-    def look_up(self, found: np.ndarray) -> np.ndarray:
-        """log10 probabilities of different windows, ascending: each from the longest retained suffix of its context."""
-        out = np.zeros(len(found), np.float32)
-        rows = np.arange(len(found))
-        for k in range(self.depth, -1, -1):
-            contexts, rests, keys, logs = self.levels[k]
-            mine = found[rows]
-            key = ((mine >> (8 * (self.depth - k + 1))) << 8) | (mine & 255)
-            at = np.searchsorted(keys, key)
-            seen = np.append(keys, -1)[at] == key
-            out[rows[seen]] += logs[at[seen]]
-            rows, context = rows[~seen], key[~seen] >> 8
-            if k:  # a retained context that hasn't the byte leaves it to its suffix, which is retained too
-                at = np.searchsorted(contexts, context)
-                has = np.append(contexts, -1)[at] == context
-                out[rows[has]] += rests[at[has]]
-        out[rows] += self.unseen
-        return out
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the windows that are this part's, 0 for others."""
-        out = np.zeros(len(keys), np.float32)
-        for at in range(0, len(keys), FLUSH):
-            some = keys[at : at + FLUSH]
-            mine = np.flatnonzero((some >= self.low) & (some < self.high))
-            coded = pa.array(some[mine]).dictionary_encode()
-            found = coded.dictionary.to_numpy()
-            order = np.argsort(found)
-            logs = np.zeros(len(found), np.float32)
-            logs[order] = self.look_up(found[order])
-            out[at + mine] = logs[coded.indices.to_numpy()]
-        return out
-
+    kept.reverse()
+    # From the shortest contexts up: a retained one decides, any other leaves it to its suffix.
+    best = found[0].select("key", "p")
+    for rows, contexts in zip(found[1:], kept):
+        rows = rows.withColumn("context", F.shiftright("key", 8)).withColumn("shorter", _shorter(F.col("key")))
+        rows = rows.join(contexts.withColumn("kept", F.lit(True)).hint("merge"), "context", "left")
+        rows = rows.join(best.select(F.col("key").alias("shorter"), F.col("p").alias("less")).hint("merge"), "shorter")
+        best = rows.select("key", "n", F.when(F.col("kept"), F.col("p")).otherwise(F.col("less")).alias("p"))
+    scored = store(best.select("key", "n", F.log10("p").cast("float").alias("log_p")), "windows")
+    contexts = counted.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("context"))
+    for k, c in enumerate(kept, 1):
+        contexts = contexts.unionByName(c.select(F.lit(k).alias("k"), "context"))
+    discard(*(levels[k] for k in range(depth)), *found[1:])
+    return Tree(depth, scored, contexts)
 
-def tree_parts(tree: DataFrame, most: int = PART_ROWS) -> Iterator[Part]:
-    """The tree in parts of about `most` rows, by ranges of windows.
-
-    Contexts that windows of several parts end in are in each of these: those on the path to a bound, at most 257 rows
-    for each length and bound.
-    """
-    depth, n = tree._depth, tree.count()
-    pieces = -(-n // most) if n else 1
-    inner = tree.approxQuantile("low", [i / pieces for i in range(1, pieces)], 0.1 / pieces) if pieces > 1 else []
-    bounds = [0, *sorted({int(b) for b in inner} - {0}), 1 << (8 * (depth + 1))]
-    for low, high in zip(bounds, bounds[1:]):
-        rows = tree.filter((F.col("low") < high) & (F.col("high") >= low)).select(F.shiftleft(F.col("k").cast("long"), 56).bitwiseOR(F.col("key")).alias("key"), "log_p", "log_rest").toArrow()
-        key, log_p, log_rest = (rows.column(i).to_numpy() for i in range(3))
-        del rows
-        order = np.argsort(key)
-        key, log_p, log_rest = key[order], log_p[order], log_rest[order]
-        edges = np.searchsorted(key, [k << 56 for k in range(depth + 2)])
-        levels = []
-        for start, end in zip(edges, edges[1:]):
-            keys = key[start:end] & ((1 << 56) - 1)
-            first = np.flatnonzero(np.r_[True, (keys[1:] >> 8) != (keys[:-1] >> 8)]) if len(keys) else np.zeros(0, np.int64)
-            levels.append((keys[first] >> 8, log_rest[start:end][first], keys, log_p[start:end]))
-        del key, log_p, log_rest, order
-        pa.default_memory_pool().release_unused()
-        yield Part(depth, low, high, tree._unseen, levels)
-
-
-SCORED = "n_tokens long, heavy_known long, heavy_score double, score double, rare array<long>, rare_n array<long>"
-
-
-def _sums(part: Part, batch: Batch) -> np.ndarray:
-    """Sums by text; each has one window at least."""
-    edges = np.cumsum(batch.scored)[batch.starts + part.depth] - 1
-    return np.add.reduceat(part.score(windows(batch, part.depth)).astype(np.float64), edges)
-
-
-def _score_part(batches: Iterator[pa.RecordBatch], part: Part) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        yield pa.record_batch([b.column(0), pa.array(_sums(part, Batch.read(b.column(1), part.depth)))], names=["_row", "score"])
-        pa.default_memory_pool().release_unused()
 
+SCORED = "n_tokens long, heavy_known long, heavy_score double, heavy_p double, rare_kind array<byte>, rare array<long>, rare_n array<long>"
 
-def _score(batches: Iterator[pa.RecordBatch], model: tuple, text: int) -> Iterator[pa.RecordBatch]:
-    part, heavy, heavy_n, z = model
-    logs = np.r_[np.log10((heavy_n + ADD) / z), 0.0]
 
-    def place(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of each word, and its place among the heavy words, or the place after all of them."""
-        hashes = _hash(words)
-        at = np.searchsorted(heavy, hashes)
-        found = np.append(heavy, 0)[at] == hashes
-        return hashes, np.where(found & (at < len(heavy)), at, len(heavy))
+@dataclass
+class Sent:
+    """Words and windows that stand often, ascending: their hashes or numbers, and log10 probabilities."""
 
-    end_hash, end_at = place(pa.array([""]))
+    depth: int
+    words: np.ndarray
+    word_logs: np.ndarray
+    windows: np.ndarray
+    window_logs: np.ndarray
+
+
+def _places(sent: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key in `sent`, ascending; the place after all of them where it isn't there."""
+    at = np.searchsorted(sent, keys)
+    return np.where((np.append(sent, 0)[at] == keys) & (at < len(sent)), at, len(sent))
+
+
+def _tally(owner: np.ndarray, codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, key, times), ascending by owner: how often each text has each of `keys`, which codes point to."""
+    pairs, times = np.unique(owner.astype(np.int64) * max(1, len(keys)) + codes, return_counts=True)
+    return pairs // max(1, len(keys)), keys[pairs % max(1, len(keys))] if len(pairs) else np.zeros(0, np.int64), times
+
+
+def _score_windows(batch: Batch, sent: Sent) -> tuple[np.ndarray, list]:
+    """The sum of the sent windows' log10 probabilities by text, and tallies of the others."""
+    n = len(batch.starts)
+    keys = windows(batch, sent.depth)
+    edges = np.cumsum(batch.scored)[batch.starts + sent.depth] - 1  # each text has one window at least
+    logs = np.append(sent.window_logs, np.float32(0))
+    out, rare = np.zeros(len(keys), np.float32), []
+    for at in range(0, len(keys), FLUSH):
+        coded = pa.array(keys[at : at + FLUSH]).dictionary_encode()
+        found, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(found)
+        places = np.empty(len(found), np.int64)
+        places[order] = _places(sent.windows, found[order])
+        out[at : at + len(codes)] = logs[places][codes]
+        others = np.flatnonzero((places == len(sent.windows))[codes])
+        if len(others):
+            rare.append(_tally(np.searchsorted(edges, at + others, "right") - 1, codes[others], found))
+    return np.add.reduceat(out.astype(np.float64), edges) if n else np.zeros(0), rare
+
+
+def _score(batches: Iterator[pa.RecordBatch], sent: Sent, text: int) -> Iterator[pa.RecordBatch]:
+    logs = np.r_[sent.word_logs, 0.0]
+    heavy = len(sent.words)
+    end_hash = _hash(pa.array([""]))
+    end_at = _places(sent.words, end_hash)[0]
     for b in slices(batches):
         n = b.num_rows
-        batch = Batch.read(b.column(text), part.depth)
-        scores = _sums(part, batch)
+        batch = Batch.read(b.column(text), sent.depth)
+        scores, rare = _score_windows(batch, sent)
+        kinds = [1] * len(rare)
         coded = batch.tokens.dictionary_encode()
-        hashes, places = place(coded.dictionary)
+        hashes = _hash(coded.dictionary)
         codes = coded.indices.to_numpy()
-        where = places[codes]
-        known = where < len(heavy)
+        where = _places(sent.words, hashes)[codes]
+        known = where < heavy
         tokens = np.diff(batch.bounds) + 1
-        common = np.bincount(batch.owner[known], minlength=n) + (end_at[0] < len(heavy))
-        base = np.bincount(batch.owner, logs[where], minlength=n) + logs[end_at[0]]
-        # Rare words, each once a text, with how often it has them.
-        pairs, times = np.unique(batch.owner[~known].astype(np.int64) * max(1, len(hashes)) + codes[~known], return_counts=True)
-        whose, word = pairs // max(1, len(hashes)), hashes[pairs % max(1, len(hashes))] if len(pairs) else np.zeros(0, np.int64)
-        if end_at[0] == len(heavy):
-            order = np.argsort(np.r_[whose, np.arange(n)], kind="stable")
-            whose, word, times = (np.r_[x, y][order] for x, y in ((whose, np.arange(n)), (word, np.full(n, end_hash[0])), (times, np.ones(n, np.int64))))
-        edges = pa.array(np.searchsorted(whose, np.arange(n + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int64))) for x in (word, times)]
+        common = np.bincount(batch.owner[known], minlength=n) + (end_at < heavy)
+        base = np.bincount(batch.owner, logs[where], minlength=n) + logs[end_at]
+        rare.append(_tally(batch.owner[~known], codes[~known], hashes))
+        kinds.append(0)
+        if end_at == heavy:
+            rare.append((np.arange(n), np.full(n, end_hash[0]), np.ones(n, np.int64)))
+            kinds.append(0)
+        whose, keys, times = (np.concatenate(x).astype(np.int64) for x in zip(*rare))
+        kind = np.repeat(np.array(kinds, np.int8), [len(x[0]) for x in rare])
+        order = np.argsort(whose, kind="stable")
+        edges = pa.array(np.searchsorted(whose[order], np.arange(n + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (kind, keys, times)]
         kept = [i for i in range(b.num_columns) if i != text]
         made = [pa.array(tokens.astype(np.int64)), pa.array(common.astype(np.int64)), pa.array(base), pa.array(scores), *lists]
         yield pa.record_batch([*(b.column(i) for i in kept), *made], names=[*(b.schema.names[i] for i in kept), *(x.split()[0] for x in SCORED.split(", "))])
         pa.default_memory_pool().release_unused()
 
 
-def score(docs: DataFrame, keep: list[str], counted: DataFrame, tree: DataFrame, text: str = "text", heavy_share: float = HEAVY_SHARE, part_rows: int = PART_ROWS) -> DataFrame:
+def _frequent(table: DataFrame, most: int) -> Column:
+    """Which rows of `table` have the largest n: at most `most` of them, in whole bins of n that are 9 % wide."""
+    size = F.floor(F.log2("n") * 8)
+    bins = sorted(table.filter("n > 0").groupBy(size.alias("size")).count().collect(), reverse=True)
+    least, sent = math.inf, 0
+    for s, count in bins:
+        sent += count
+        if sent > most:
+            break
+        least = s
+    return F.coalesce((F.col("n") > 0) & (size >= F.lit(least)), F.lit(False))
+
+
+def _fetch(table: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Columns of a table as arrays, by ascending `key`, a share at a time."""
+    shares = -(-table.count() // FETCH) or 1
+    got = [table.filter(F.pmod(F.xxhash64("key"), F.lit(shares)) == i).select("key", *columns).toArrow() for i in range(shares)]
+    arrays = [np.concatenate([t.column(c).to_numpy() for t in got]) for c in ("key", *columns)]
+    del got
+    order = np.argsort(arrays[0])
+    return [x[order] for x in arrays]
+
+
+def score(docs: DataFrame, keep: list[str], counted: DataFrame, tree: Tree, text: str = "text", heavy_share: float = HEAVY_SHARE, most: int = SENT_WINDOWS) -> DataFrame:
     """The columns `keep` of docs with n_tokens, n_known, train_tokens, base_score and score.
 
-    counted and tree: of count_corpus() and learn_tree(). The tree is sent in parts of part_rows, a pass over the texts
-    for each; a text's score is the sum of what the passes give, in their order.
+    counted and tree: of count_corpus(), which must have read these texts among others, and learn_tree(). A window that
+    isn't there is an error.
     """
     spark = docs.sparkSession
     words = counted.filter("kind = 0").select("key", "n")
     total, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     z = total + ADD * (different + 1)
     least = max(1, math.ceil(heavy_share * total))
-    heavy = words.filter(F.col("n") >= least).toArrow()
-    keys = heavy.column("key").to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    keys, counts = keys[order], heavy.column("n").to_numpy().astype(np.int64)[order]
+    frequent = _frequent(tree.windows, most)
+    keys, counts = _fetch(words.filter(F.col("n") >= least), "n")
+    model = Sent(tree.depth, keys, np.log10((counts + ADD) / z), *_fetch(tree.windows.filter(frequent), "log_p"))
+    sent = spark.sparkContext.broadcast(model)
+    del model, keys, counts
     given = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, text)
     fields = ", ".join(["_row long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCORED])
-    rows, more = None, []
-    if tree.count() > part_rows:  # several passes must agree on the rows' numbers
-        given = store(given, "numbered")
-    for part in tree_parts(tree, part_rows):
-        if rows is None:
-            sent = spark.sparkContext.broadcast((part, keys, counts, z))
-            rows = store(given.mapInArrow(lambda it, s=sent: _score(it, s.value, len(keep) + 1), fields), "scored")
-        else:
-            sent = spark.sparkContext.broadcast(part)
-            more.append(store(given.select("_row", text).mapInArrow(lambda it, s=sent: _score_part(it, s.value), "_row long, score double"), "scored"))
-        sent.destroy()
-    rare = rows.select("_row", F.explode(F.arrays_zip(F.col("rare").alias("key"), F.col("rare_n").alias("times"))).alias("w")).select("_row", "w.key", "w.times")
-    light = words.filter(F.col("n") < least)
-    n = F.coalesce(F.col("n"), F.lit(0))
-    sums = rare.join(light, "key", "left").groupBy("_row").agg(F.sum(F.col("times") * F.log10((n + ADD) / z)).alias("s"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("k"))
-    out = rows.join(sums, "_row", "left")
-    if more:
-        passes = more[0].withColumn("pass", F.lit(1))
-        for i, m in enumerate(more[1:], 2):
-            passes = passes.unionByName(m.withColumn("pass", F.lit(i)))
-        rest = passes.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pass", "score"))).alias("passes"))
-        out = out.join(rest, "_row").withColumn("score", F.aggregate("passes", F.col("score"), lambda x, y: x + y["score"]))
-    return out.select(
-        *keep, "n_tokens", (F.col("heavy_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("heavy_score") + F.coalesce("s", F.lit(0.0))).alias("base_score"), "score",
+    rows = store(given.mapInArrow(lambda it: _score(it, sent.value, len(keep) + 1), fields), "scored")
+    sent.destroy()
+    listed = F.arrays_zip(F.col("rare_kind").alias("kind"), F.col("rare").alias("key"), F.col("rare_n").alias("times"))
+    rare = rows.select("_row", F.explode(listed).alias("w")).select("_row", "w.kind", "w.key", "w.times")
+    light = words.filter(F.col("n") < least).select(F.lit(0).cast("byte").alias("kind"), "key", "n", F.log10((F.col("n") + ADD) / z).alias("log_p"))
+    light = light.unionByName(tree.windows.filter(~frequent).select(F.lit(1).cast("byte").alias("kind"), "key", "n", F.col("log_p").cast("double")))
+    unknown = F.when(F.col("kind") == 0, F.lit(math.log10(ADD / z))).otherwise(F.raise_error(F.lit("a text that count_corpus() hasn't read")).cast("double"))
+    units = F.round(F.col("times") * F.coalesce("log_p", unknown) * UNIT).cast("long")
+    word, window = F.col("kind") == 0, F.col("kind") == 1
+    sums = rare.join(light, ["kind", "key"], "left").groupBy("_row").agg(
+        F.sum(F.when(word, units).otherwise(0)).alias("s"),
+        F.sum(F.when(window, units).otherwise(0)).alias("p"),
+        F.sum(F.when(word & (F.col("n") > 0), F.col("times")).otherwise(0)).alias("known"),
+    )
+    return rows.join(sums, "_row", "left").select(
+        *keep, "n_tokens", (F.col("heavy_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("heavy_score") + F.coalesce("s", F.lit(0)) / UNIT).alias("base_score"), (F.col("heavy_p") + F.coalesce("p", F.lit(0)) / UNIT).alias("score"),
     )
 
 
@@ -429,5 +422,5 @@ def held_out(doc_id: str | Column = "doc_id", modulus: int = 10, remainder: int
 
 def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", held_out().alias("held_out"), "text")
-    counted = count_corpus(docs.filter(~F.col("held_out")))
+    counted = count_corpus(docs, training=~F.col("held_out"))
     return score(docs, ["doc_id", "held_out"], counted, learn_tree(counted))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import documents, prose
 from tessera.llm import suffix_lm as S
@@ -31,28 +32,30 @@ def plain_tree(texts, depth, least, gain):
     return p, kept
 
 
-@pytest.mark.parametrize(("least", "most"), [(5, 1 << 20), (2, 1 << 20), (2, 500)])
+@pytest.mark.parametrize(("least", "most"), [(5, 1 << 20), (2, 1 << 20), (2, 500), (2, 0)])
 def test_tree_against_plain(spark, least, most):
     depth = S.DEPTH
     texts = [prose(40, i) for i in range(30)] + ["the cat sat on the mat " * 20, "", "Été été\tÉTÉ"]
-    docs = documents(spark, list(enumerate(texts)))
-    counted = S.count_corpus(docs.repartition(3))
+    probes = [texts[0], "the mat", "unseen zebra 中", "", texts[-2] + "x"]
+    docs = documents(spark, list(enumerate(texts + probes)))
+    counted = S.count_corpus(docs.repartition(3), training=F.col("doc_id") < len(texts))
     tree = S.learn_tree(counted, min_count=least, gain=1.0)
     p, kept = plain_tree(texts, depth, least, 1.0)
-    assert tree.selectExpr("k", "key >> 8").distinct().count() == len(kept)
-    parts = list(S.tree_parts(tree, most))
-    assert (len(parts) > 3) == (most < 10_000)
-    for t in [texts[0], "the mat", "unseen zebra 中", "", texts[-2] + "x"]:
-        import pyarrow as pa
-
-        b = S.Batch.read(pa.array([t]), depth)
-        got = sum(float(x.score(S.windows(b, depth)).astype(float).sum()) for x in parts)
+    assert tree.contexts.count() == tree.contexts.distinct().count() == len(kept)
+    got = {r["doc_id"]: r["score"] for r in S.score(docs, ["doc_id"], counted, tree, most=most).collect()}
+    for i, t in enumerate(texts + probes):
         s = bytes([S.END]) * depth + b" ".join(t.encode().lower().split()) + bytes([S.END])
         want = 0.0
-        for i in range(depth, len(s)):
-            c = next(s[i - k : i] for k in range(depth, -1, -1) if s[i - k : i] in kept)
-            want += math.log10(p(c, s[i]))
-        assert got == pytest.approx(want, rel=1e-5, abs=1e-4)
+        for j in range(depth, len(s)):
+            c = next(s[j - k : j] for k in range(depth, -1, -1) if s[j - k : j] in kept)
+            want += math.log10(p(c, s[j]))
+        assert got[i] == pytest.approx(want, rel=1e-5, abs=1e-4)
+
+
+def test_texts_that_were_not_counted(spark):
+    counted = S.count_corpus(documents(spark, [(1, "a b c")]))
+    with pytest.raises(Exception, match="hasn't read"):
+        S.score(documents(spark, [(2, "x y")]), ["doc_id"], counted, S.learn_tree(counted)).collect()
 
 
 def test_slices_read_all_words(monkeypatch):
@@ -66,33 +69,36 @@ def test_slices_read_all_words(monkeypatch):
 
 
 def test_distributions_sum_to_one(spark):
-    docs = documents(spark, [(i, prose(50, i)) for i in range(20)])
-    (part,) = S.tree_parts(S.learn_tree(S.count_corpus(docs)))
-    deepest = part.levels[-1][0]
-    assert len(deepest)
-    for context in [*deepest[:: max(1, len(deepest) // 50)], 0]:
-        seen = (int(context) << 8) + np.arange(256)
-        # 257 symbols: the last stands for what no text has.
-        p = 10.0 ** part.look_up(seen).astype(float)
-        assert p.sum() == pytest.approx(1, rel=1e-3)
+    counted = S.count_corpus(documents(spark, [(i, prose(50, i)) for i in range(20)]))
+    deepest = sorted({r[0] >> 8 for r in counted.filter("kind = 1").select("key").collect()})
+    some = deepest[:: max(1, len(deepest) // 50)]
+    # Each byte after these contexts, and after one that no text has. 257 symbols: the last stands for what no text has.
+    every = spark.createDataFrame([(1, (c << 8) + x, 0) for c in [*some, 0] for x in range(256)], counted.schema)
+    tree = S.learn_tree(counted.unionByName(every).groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    sums = tree.windows.groupBy((F.shiftright("key", 8)).alias("c")).agg(F.sum(F.pow(F.lit(10.0), F.col("log_p"))).alias("s"), F.count("*").alias("rows"))
+    got = sums.filter("rows = 256").collect()
+    assert len(got) == len(some) + 1
+    for r in got:
+        assert r["s"] == pytest.approx(1, rel=1e-3)
 
 
 def test_tree_grows_with_corpus(spark):
     def size(n):
-        return S.learn_tree(S.count_corpus(documents(spark, [(i, f"{zlib.crc32(b'%d' % (i // 2)):x} common words") for i in range(n)]))).count()
+        return S.learn_tree(S.count_corpus(documents(spark, [(i, f"{zlib.crc32(b'%d' % (i // 2)):x} common words") for i in range(n)]))).contexts.count()
 
     assert size(4000) > 5 * size(400)
 
 
-def test_passes_agree(spark):
+def test_sent_and_joined_agree(spark):
     docs = documents(spark, [(i, prose(30, i)) for i in range(40)] + [(None, None), (7, ""), (7, "a b")])
     counted = S.count_corpus(docs)
     tree = S.learn_tree(counted)
-    one, many = (sorted(map(tuple, S.score(docs, ["doc_id"], counted, tree, part_rows=n).fillna(-1).collect())) for n in (1 << 20, 400))
+    one, many, none = (sorted(map(tuple, S.score(docs, ["doc_id"], counted, tree, most=n).fillna(-1).collect())) for n in (1 << 20, 400, 0))
     assert len(one) == 43
-    for a, b in zip(one, many, strict=True):
-        assert a[:5] == b[:5]
-        assert a[5] == pytest.approx(b[5], rel=1e-5)
+    for a, b, c in zip(one, many, none, strict=True):
+        assert a[:5] == b[:5] == c[:5]
+        assert a[5] == pytest.approx(b[5], rel=1e-5) == pytest.approx(c[5], rel=1e-5)
+    assert many == sorted(map(tuple, S.score(docs.repartition(5), ["doc_id"], counted, tree, most=400).fillna(-1).collect()))
 
 
 def test_base_and_gain(spark, data):
@@ -117,7 +123,7 @@ def test_held_out_gain(spark):
 
 def test_rare_words_are_joined(spark):
     docs = documents(spark, [(i, prose(30, i)) for i in range(40)]).select("doc_id", S.held_out().alias("held_out"), "text")
-    counted = S.count_corpus(docs.filter("not held_out"))
+    counted = S.count_corpus(docs, training=~F.col("held_out"))
     tree = S.learn_tree(counted)
     one = S.score(docs, ["doc_id"], counted, tree).orderBy("doc_id").collect()
     two = S.score(docs, ["doc_id"], counted, tree, heavy_share=0.02).orderBy("doc_id").collect()
