@@ -102,14 +102,13 @@ class Batch:
 
 def windows(batch: Batch, depth: int = DEPTH) -> np.ndarray:
     """A number for each scored byte: the bytes before it, the last first, then the byte."""
-    raw = batch.raw
-    n = len(raw) - depth
-    key = np.zeros(n, np.int64)
-    for d in range(1, depth + 1):
-        key <<= 8
-        key |= raw[depth - d : depth - d + n]
+    n = len(batch.raw) - depth
+    padded = np.r_[batch.raw, np.zeros(8, np.uint8)]
+    # The eight bytes from each place on as a little-endian number: what comes last in a context weighs most.
+    eight = np.ndarray(n, "<i8", padded.data, strides=(1,))
+    key = eight & ((1 << (8 * depth)) - 1)
     key <<= 8
-    key |= raw[depth:]
+    key |= batch.raw[depth:]
     return key[batch.scored[depth:]]
 
 

@@ -52,6 +52,18 @@ def test_tree_against_plain(spark, least, most):
         assert got[i] == pytest.approx(want, rel=1e-5, abs=1e-4)
 
 
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_windows_byte_by_byte(depth):
+    import pyarrow as pa
+
+    texts = ["the cat", "", None, "Été 中", "x" * 40]
+    want = []
+    for t in texts:
+        s = bytes([S.END]) * depth + b" ".join((t or "").encode().lower().split()) + bytes([S.END])
+        want += [int.from_bytes(s[i - depth : i][::-1] + s[i : i + 1], "big") for i in range(depth, len(s))]
+    assert S.windows(S.Batch.read(pa.array(texts), depth), depth).tolist() == want
+
+
 def test_texts_that_were_not_counted(spark):
     counted = S.count_corpus(documents(spark, [(1, "a b c")]))
     with pytest.raises(Exception, match="hasn't read"):
