@@ -5,28 +5,12 @@ A source's candidates don't depend on other sources, so the union of the batches
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import blocking, ranking
 from tessera.operators.keys import prepare
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir. Where that is unset it must be a local session, which gets one that is removed at the end."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}/{name}"
+from tessera.sources.scratch import new_folder
 
 
 def match_stream(arriving: DataFrame, targets: DataFrame, out: str, checkpoint: str, k: int = 25, strategy: str = "8", once: bool = True):
