@@ -94,3 +94,23 @@ def test_columns(spark):
     assert one(spark, S.levenshtein_ratio, "abc", "abd") == pytest.approx(2 / 3)
     row = one(spark, lambda a, b: S.measures(x=("token_sort", a, b), y=("jaro_winkler", a, b)), "b a", None)
     assert (row["x"], row["y"]) == (0.0, 0.0)
+
+
+def test_partial_ratios_at_once():
+    from random import Random
+
+    from tessera.functions.similarity import partial_ratio, partial_ratios
+
+    r = Random(1)
+    text = lambda n: "".join(r.choice("ab cdé中😀") for _ in range(n))
+    pairs = [(text(r.choice((0, 1, 2, 5, 9, 30, 63, 64, 65, 70))), text(r.choice((0, 1, 5, 9, 31, 63, 64, 65, 130)))) for _ in range(600)]
+    pairs += [(a, a) for a, _ in pairs[:20]] + [(a[3:], a) for a, _ in pairs[:20]]
+    assert partial_ratios(pairs) == [partial_ratio(a, b) for a, b in pairs]
+
+
+def test_only_wanted_measures(spark, monkeypatch):
+    from tessera.operators import features
+
+    monkeypatch.setattr(features, "measures", lambda **wanted: list(wanted))
+    assert "name_partial_ratio" not in features.arrow(features.FEATURES_30)
+    assert features.arrow(("composite_score",)) == ["name_token_sort_ratio", "addr_token_sort_ratio"]
