@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import blocking, ranking
+from tessera.operators import blocks
 from tessera.operators.keys import prepare
 from tessera.sources.scratch import new_folder
 
@@ -22,7 +22,7 @@ def match_stream(arriving: DataFrame, targets: DataFrame, out: str, checkpoint:
 
     def match(batch: DataFrame, number: int) -> None:
         s = prepare(batch)
-        ranking.top_k(blocking.candidates(s, t, strategy), s, t, k).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        blocks.top_k(s, t, strategy, k).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = arriving.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
