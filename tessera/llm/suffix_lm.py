@@ -49,19 +49,44 @@ SENT_WINDOWS = 1 << 21
 FETCH = 1 << 19
 """How many of them the driver takes at once, about."""
 UNIT = 1 << 30
-FLUSH = 1 << 20
+FLUSH = 1 << 21
 """Windows or words a task gathers, at least, before it merges them with those it has."""
-HOLD = 2 << 20
+HOLD = 3 << 20
 """Different ones it holds before it passes them on."""
-SLICE = 300
-"""Texts handled at once."""
+SHORT = 32
+"""Bytes of a word up to which words are hashed together."""
+SLICE = 1 << 8
+"""Texts handled at once; a text's place among them is one byte."""
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Another number for each 64-bit number, all bits of which depend on all of its own (the end of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _hash(words: pa.Array) -> np.ndarray:
+    """64-bit hashes: eight bytes of all words at a time; words longer than SHORT one by one."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words)).view(np.int64)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = words.cast(pa.large_string()).cast(pa.large_binary())
+    edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    padded = np.zeros(edges[-1] + 8, np.uint8)
+    if edges[-1]:
+        padded[:-8] = np.frombuffer(words.buffers()[2], np.uint8)[: edges[-1]]
+    eight = np.ndarray(len(padded) - 7, "<u8", padded.data, strides=(1,))
+    starts, sizes = edges[:-1], np.diff(edges)
+    out = _mix(sizes.astype(np.uint64))
+    for at in range(0, SHORT, 8):
+        here = np.flatnonzero((sizes > at) & (sizes <= SHORT))
+        cut = 8 * np.maximum(0, at + 8 - sizes[here]).astype(np.uint64)
+        out[here] = _mix(out[here] ^ (eight[starts[here] + at] << cut))
+    for i in np.flatnonzero(sizes > SHORT):
+        out[i] = xxhash.xxh64_intdigest(words[i].as_py())
+    return out.view(np.int64)
 
 
 @dataclass
@@ -119,6 +144,14 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.take(pa.array(np.arange(at, min(b.num_rows, at + SLICE))))
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers begin, and their lengths."""
+    begins = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=begins[1:])
+    first = np.flatnonzero(begins)
+    return first, np.diff(first, append=len(ordered))
+
+
 class _Counter:
     """Counts of numbers. What was added last is merged with the rest once it is as much."""
 
@@ -142,7 +175,7 @@ class _Counter:
         keys = keys[order]
         counts = np.concatenate([c for _, c in parts])[order]
         del parts, order
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        first, _ = _runs(keys)
         self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
         self.loose, self.n = [], 0
 
@@ -171,11 +204,11 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
         nonlocal held
         for weight, found in enumerate(loose):
             if found:
-                times = pa.array(np.concatenate(found)).value_counts()
-                keys, counts = times.field(0).to_numpy(), times.field(1).to_numpy()
-                order = np.argsort(keys)
-                counters[1].add(keys[order], counts[order] * weight)
+                keys = np.concatenate(found)
                 found.clear()
+                keys.sort()
+                first, times = _runs(keys)
+                counters[1].add(keys[first], times * weight)
         held = 0
 
     for b in slices(batches):
@@ -300,24 +333,25 @@ def _tally(owner: np.ndarray, codes: np.ndarray, keys: np.ndarray) -> tuple[np.n
     return pairs // max(1, len(keys)), keys[pairs % max(1, len(keys))] if len(pairs) else np.zeros(0, np.int64), times
 
 
-def _score_windows(batch: Batch, sent: Sent) -> tuple[np.ndarray, list]:
-    """The sum of the sent windows' log10 probabilities by text, and tallies of the others."""
-    n = len(batch.starts)
+def _score_windows(batch: Batch, sent: Sent) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sum of the sent windows' log10 probabilities by text, and (owner, key, times) of the others.
+
+    A window and its text are one number, so that sorting these counts them; a text is summed in the order of its windows' numbers.
+    """
     keys = windows(batch, sent.depth)
     edges = np.cumsum(batch.scored)[batch.starts + sent.depth] - 1  # each text has one window at least
-    logs = np.append(sent.window_logs, np.float32(0))
-    out, rare = np.zeros(len(keys), np.float32), []
-    for at in range(0, len(keys), FLUSH):
-        coded = pa.array(keys[at : at + FLUSH]).dictionary_encode()
-        found, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        order = np.argsort(found)
-        places = np.empty(len(found), np.int64)
-        places[order] = _places(sent.windows, found[order])
-        out[at : at + len(codes)] = logs[places][codes]
-        others = np.flatnonzero((places == len(sent.windows))[codes])
-        if len(others):
-            rare.append(_tally(np.searchsorted(edges, at + others, "right") - 1, codes[others], found))
-    return np.add.reduceat(out.astype(np.float64), edges) if n else np.zeros(0), rare
+    pairs = keys.view(np.uint64)
+    pairs <<= np.uint64(8)
+    pairs |= np.repeat(np.arange(len(edges), dtype=np.uint8), np.diff(edges, append=len(keys)))
+    pairs.sort()
+    first, times = _runs(pairs)
+    pairs = pairs[first]
+    owner, keys = pairs.astype(np.uint8).astype(np.int64), (pairs >> np.uint64(8)).view(np.int64)
+    first, copies = _runs(keys)
+    places = np.repeat(_places(sent.windows, keys[first]), copies)
+    scores = np.bincount(owner, np.append(sent.window_logs, np.float32(0))[places].astype(np.float64) * times, len(edges))
+    others = places == len(sent.windows)
+    return scores, (owner[others], keys[others], times[others])
 
 
 def _score(batches: Iterator[pa.RecordBatch], sent: Sent, text: int) -> Iterator[pa.RecordBatch]:
@@ -328,8 +362,8 @@ def _score(batches: Iterator[pa.RecordBatch], sent: Sent, text: int) -> Iterator
     for b in slices(batches):
         n = b.num_rows
         batch = Batch.read(b.column(text), sent.depth)
-        scores, rare = _score_windows(batch, sent)
-        kinds = [1] * len(rare)
+        scores, others = _score_windows(batch, sent)
+        rare, kinds = [others], [1]
         coded = batch.tokens.dictionary_encode()
         hashes = _hash(coded.dictionary)
         codes = coded.indices.to_numpy()

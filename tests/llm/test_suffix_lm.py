@@ -143,3 +143,36 @@ def test_rare_words_are_joined(spark):
     for a, b, c in zip(one, two, three, strict=True):
         assert a["n_known"] == b["n_known"] == c["n_known"]
         assert a["base_score"] == pytest.approx(b["base_score"]) == pytest.approx(c["base_score"])
+
+
+def test_words_are_told_apart():
+    import pyarrow as pa
+
+    words = ["", *(bytes([97 + i % 26]).decode() * n for i in range(26) for n in range(1, 80)), *(prose(1, i) + str(i) for i in range(3000)), "a\0", "a\0\0", "中文"]
+    words = list(dict.fromkeys(words))
+    got = S._hash(pa.array(words))
+    assert len(set(got.tolist())) == len(words)
+    assert (S._hash(pa.array(words[::-1], pa.large_string()))[::-1] == got).all() and (S._hash(pa.array(["x", *words]).slice(1)) == got).all()
+    assert len(S._hash(pa.array([], pa.string()))) == 0
+
+
+def test_windows_are_sorted_not_coded(monkeypatch):
+    """Coding windows by hash took most of the time of counting and scoring."""
+    import pyarrow as pa
+
+    def coded(*_):
+        raise AssertionError("windows are coded")
+
+    texts = [prose(30, i) for i in range(20)] + ["", None, "x" * 300, "the mat the mat"]
+    batch = S.Batch.read(pa.array(texts))
+    keys, times = np.unique(S.windows(batch), return_counts=True)
+    monkeypatch.setattr(S, "_tally", coded)
+    sent = S.Sent(S.DEPTH, np.zeros(0, np.int64), np.zeros(0), keys[::2], np.arange(len(keys[::2]), dtype=np.float32))
+    scores, (owner, rare, n) = S._score_windows(batch, sent)
+    for i, t in enumerate(texts):
+        own = S.windows(S.Batch.read(pa.array([t], pa.string()))).tolist()
+        assert scores[i] == sum(float(np.searchsorted(keys, k) // 2) for k in own if np.searchsorted(keys, k) % 2 == 0)
+        assert sorted(np.repeat(rare[owner == i], n[owner == i]).tolist()) == sorted(k for k in own if np.searchsorted(keys, k) % 2)
+    learns = pa.array([True] * len(texts))
+    rows = [r for b in S._count(iter([pa.record_batch([pa.array(texts), learns], names=["text", "l"])]), S.DEPTH) for r in b.to_pylist()]
+    assert [(r["key"], r["n"]) for r in rows if r["kind"] == 1] == list(zip(keys.tolist(), times.tolist()))
