@@ -51,6 +51,8 @@ AREA_DIGITS = 4
 FILTER_BITS = 24
 KNOWN_WORDS = 200_000
 FLUSH = 500_000
+MOST_SENT = 1 << 20
+"""Terms sent to the texts at most (16 MB)."""
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _chain = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -307,10 +309,12 @@ def find(docs: DataFrame, keep: list[str], text: str = "text", threshold: float
 
     These are arrays of (start, kind, end) and of (start, kind, end, disclosure).
     """
-    spark = docs.sparkSession
     revealing = disclosures(docs, text, threshold, min_contexts)
-    bits = term_filter(revealing)
-    sent = spark.sparkContext.broadcast(bits)
+    return _find_terms(docs, keep, text, revealing, term_filter(revealing), with_text)
+
+
+def _find_terms(docs: DataFrame, keep: list[str], text: str, revealing: DataFrame, bits: np.ndarray | None, with_text: bool) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
     rows = docs.select(*keep, text)
     span, hit = "array<struct<start:long,kind:int,end:long>>", "array<struct<term:long,start:long,end:long>>"
     copied = rows.schema.fields if with_text else rows.schema.fields[:-1]
@@ -344,12 +348,52 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(new, pa.string())], names=b.schema.names[:2])
 
 
+class _Degrees(dict):
+    """Of a lower-case word, its disclosure if it is one of the terms, else None."""
+
+    def __init__(self, hashes: np.ndarray, degrees: np.ndarray):
+        super().__init__()
+        self.hashes, self.degrees = hashes, degrees
+
+    def __missing__(self, word: str) -> float | None:
+        h = _hash(word)
+        i = int(np.searchsorted(self.hashes, h))
+        self[word] = out = float(self.degrees[i]) if i < len(self.hashes) and self.hashes[i] == h else None
+        return out
+
+
+def _clean_at_once(batches: Iterator[pa.RecordBatch], hashes: np.ndarray, degrees: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Finds and cleans in one pass, given the terms by ascending hash."""
+    known = _Degrees(hashes, degrees)
+    for b in tidy(batches):
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        new = []
+        for t in b.column(1):
+            value = t.as_py()
+            if value:
+                base = base_spans(value)
+                revealing = [(s, KINDS.index("term"), e, d) for s, e, w in terms(value, base) if (d := known[w]) is not None] if len(hashes) else []
+                value = cleaned(value, base, revealing)
+            new.append(value)
+        yield pa.record_batch([b.column(0), pa.array(new, pa.string())], names=b.schema.names)
+
+
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with its texts sanitised; the other columns stay as they are."""
+    """docs with its texts sanitised; the other columns stay as they are.
+
+    Up to MOST_SENT terms are sent to the texts, which then are neither stored nor shuffled; more are joined.
+    """
     rest = [c for c in docs.columns if c != text]
     named = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_keep"), F.col(text).alias("_text"))
-    found = find(named, ["_keep"], "_text", with_text=True)
-    new = found.mapInArrow(_clean, T.StructType(found.schema.fields[:2]))
+    revealing = disclosures(named, "_text")
+    if revealing.count() <= MOST_SENT:
+        table = revealing.toArrow().sort_by("term")
+        sent = docs.sparkSession.sparkContext.broadcast((table["term"].to_numpy(), table["disclosure"].to_numpy()))
+        new = named.mapInArrow(lambda it: _clean_at_once(it, *sent.value), named.schema)
+    else:
+        found = _find_terms(named, ["_keep"], "_text", revealing, term_filter(revealing), with_text=True)
+        new = found.mapInArrow(_clean, T.StructType(found.schema.fields[:2]))
     return new.select(*[F.col("_text").alias(c) if c == text else F.col("_keep")[c].alias(c) for c in docs.columns])
 
 

@@ -62,6 +62,26 @@ def test_terms(spark):
     assert clean[1005] == got[1005]["text"] and clean[5000] is None and clean[5001] == ""
 
 
+def test_texts_are_cleaned_where_they_are(spark, monkeypatch):
+    """Texts are neither stored nor shuffled; joined terms give the same."""
+    rows = [(i, f"{prose(20, i)} zorblatt writes from m{i}@mail.example.org {prose(20, 900 + i)}") for i in range(9)]
+    rows += [(1000 + i, prose(60, 2000 + i)) for i in range(200)]
+    for some in (rows[9:], rows):
+        docs = documents(spark, [*some, (50, None), (51, ""), (52, "Zorblatt")])
+        stored, store = [], S.store
+        with monkeypatch.context() as m:
+            m.setattr(S, "store", lambda df, name="table": stored.append(name) or store(df, name))
+            new = S.sanitise(docs)
+            assert "found" not in stored and "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+            m.setattr(S, "MOST_SENT", -1)
+            joined = S.sanitise(docs)
+            assert "found" in stored
+        assert new.columns == joined.columns == docs.columns
+        got = {r["doc_id"]: r for r in new.collect()}
+        assert got == {r["doc_id"]: r for r in joined.collect()} and len(got) == len(some) + 3
+    assert not any("zorblatt" in (r["text"] or "").lower() or "@" in (r["text"] or "") for r in got.values())
+
+
 def test_names_in_contact_blocks(spark):
     """Words of a fixed block by an address give it away in documents that differ, at a text's end too, not in near copies."""
     block = "Janeth Millerov Senior Accountant Manager Acmeon Corporation Ltdx janeth@mail.example.org"
